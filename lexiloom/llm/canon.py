@@ -21,7 +21,7 @@ from ..functions.wordkernel import Words, mix64, sequence_hash, split_words
 #: The field names of the corpus.
 FIELD_NAMES = ("instruction", "input", "context", "tone", "audience")
 
-SCHEMA = "words binary, fields binary, n_words int"
+SCHEMA = "words binary, fields binary, w bigint, f bigint, n_words int"
 
 
 def field_marks(text: str, mark: re.Pattern) -> list[tuple[str, int, int]]:
@@ -77,7 +77,7 @@ class Canon:
 
 def canonical(df: DataFrame, text: str, keep: list[str], names: tuple[str, ...] = FIELD_NAMES) -> DataFrame:
     """The kept columns with ``words``, ``fields`` (null if the text is not made of
-    named fields) and ``n_words`` of each text.  Null, empty and wordless texts get
+    named fields), their lower halves ``w`` and ``f``, and ``n_words`` of each text.  Null, empty and wordless texts get
     n_words 0."""
     source = df.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", " + SCHEMA
@@ -96,7 +96,7 @@ def canonical(df: DataFrame, text: str, keep: list[str], names: tuple[str, ...]
             named = [np.concatenate([p[1][k] for p in parts]) for k in (0, 1)]
             has, counts = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
             columns = [batch.column(i) for i in range(len(keep))]
-            columns += [binary16(*seq), with_nulls(binary16(*named), ~has), pa.array(counts.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "words", "fields", "n_words"])
+            columns += [binary16(*seq), with_nulls(binary16(*named), ~has), pa.array(seq[1].view(np.int64)), with_nulls(pa.array(named[1].view(np.int64)), ~has), pa.array(counts.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "words", "fields", "w", "f", "n_words"])
 
     return source.mapInArrow(run, schema)

@@ -37,10 +37,10 @@ RANGE_HASHES = 50_000_000
 class LayoutCopies:
     """Copies among the records of a table.
 
-    ``rows``: (id, words, fields, n_words) of every delivered row with an id.
-    ``classes``: (words, fields, kept_id, n_copies), one row for each form of a
-    text that occurs in two or more records; n_copies counts the records of the
-    whole class.
+    ``rows``: (id, words, fields, w, f, n_words) of every delivered row with an id.
+    ``classes``: (words, fields, w, n, kept_id, n_copies), one row for each form of a
+    text that occurs in two or more records; n counts its records, n_copies those
+    of the whole class.
     """
 
     def __init__(self, df: DataFrame, id: str, text: str, scratch: Scratch | None = None, extra: list[str] | None = None) -> None:
@@ -52,9 +52,8 @@ class LayoutCopies:
         self.classes = scratch.keep(self._classes())
 
     def _possible_repeats(self) -> DataFrame:
-        """Distinct (id, words, fields) of rows whose hash may occur twice."""
-        low = lambda c: F.conv(F.hex(F.substring(c, 9, 8)), 16, -10).cast("long")
-        wordy = self.rows.where("n_words > 0").select("id", "words", "fields", low("words").alias("w"), low("fields").alias("f"))
+        """Distinct (id, words, fields, w) of rows whose hash may occur twice."""
+        wordy = self.rows.where("n_words > 0").select("id", "words", "fields", "w", "f")
         n = self.rows.count()
         ranges = max(1, -(-2 * n // (2 * RANGE_HASHES)))
         out = None
@@ -62,26 +61,26 @@ class LayoutCopies:
             inside = lambda c: F.pmod(F.shiftright(c, 7), F.lit(ranges)) == r
             each = wordy.select(F.explode(F.array_compact(F.array("w", "f"))).alias("h")).where(inside(F.col("h")))
             seen = bloom.build(each, "h", max(1, n // ranges))
-            part = wordy.where(inside(F.col("w")) | F.coalesce(inside(F.col("f")), F.lit(False))).mapInArrow(_keep_possible(seen), f"id {self.rows.schema[0].dataType.simpleString()}, words binary, fields binary")
+            part = wordy.where(inside(F.col("w")) | F.coalesce(inside(F.col("f")), F.lit(False))).mapInArrow(_keep_possible(seen), f"id {self.rows.schema[0].dataType.simpleString()}, words binary, fields binary, w bigint")
             out = part if out is None else out.unionByName(part)
         return out.distinct()
 
     def _classes(self) -> DataFrame:
-        forms = self.scratch.keep(self.repeats.groupBy("words", "fields").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+        forms = self.scratch.keep(self.repeats.groupBy("words", "fields", "w").agg(F.min("id").alias("least"), F.count("*").alias("n")))
         # the class of a word sequence: the field set it is read as, if it is
         read = forms.where("fields is not null").groupBy("words").agg(F.min("fields").alias("as_fields"), F.max("fields").alias("other"))
-        keyed = forms.join(read, "words", "left").select("words", "fields", "least", "n", F.coalesce("fields", "as_fields", "words").alias("key"))
+        keyed = forms.join(read, "words", "left").select("words", "fields", "w", "least", "n", F.coalesce("fields", "as_fields", "words").alias("key"))
         torn = read.where("other <> as_fields").select(F.hex("as_fields").alias("a"), F.hex("other").alias("b"))
         if torn.take(1):
             every = forms.where("fields is not null").join(read.where("other <> as_fields"), "words").select(F.hex("as_fields").alias("a"), F.hex("fields").alias("b"))
             joined = hash_to_min(every, scratch=self.scratch)
             keyed = keyed.join(joined.select(F.unhex("id").alias("key"), F.unhex("group_id").alias("root")), "key", "left").withColumn("key", F.coalesce("root", "key")).drop("root")
         whole = keyed.groupBy("key").agg(F.min("least").alias("kept_id"), F.sum("n").alias("n_copies")).where("n_copies > 1")
-        return keyed.join(whole, "key").select("words", "fields", "n", "kept_id", "n_copies")
+        return keyed.join(whole, "key").select("words", "fields", "w", "n", "kept_id", "n_copies")
 
     def copies(self) -> DataFrame:
         """(kept_id, copy_id) of every record that is a copy of a smaller id."""
-        known = self.classes.withColumn("fields", F.coalesce("fields", F.lit(b"")))
+        known = self.classes.drop("w").withColumn("fields", F.coalesce("fields", F.lit(b"")))
         rows = self.repeats.withColumn("fields", F.coalesce("fields", F.lit(b"")))
         return join_unique(rows, known, ["words", "fields"], "n", self._n).where("id <> kept_id").select("kept_id", F.col("id").alias("copy_id"))
 
@@ -103,6 +102,6 @@ def _keep_possible(seen: bloom.Filter):
             named = np.flatnonzero(batch.column("f").is_valid().to_numpy(zero_copy_only=False) & ~hit)
             hit[named] = seen.holds(f[named].view(np.uint64))
             if hit.any():
-                yield batch.select(["id", "words", "fields"]).filter(pa.array(hit))
+                yield batch.select(["id", "words", "fields", "w"]).filter(pa.array(hit))
 
     return run

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .components import hash_to_min, matches
+from .editdup import NearCopies
 from .formatdup import LayoutCopies
 
 
@@ -26,8 +27,18 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return LayoutCopies(_t(spark, d, "injection_lab"), "id", "text").records()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return NearCopies(_t(spark, d, "injection_lab"), "id", "text").pairs()
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return NearCopies(_t(spark, d, "injection_lab"), "id", "text").groups()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p4_found": p4_found,
     "p4_records": p4_records,
 }
