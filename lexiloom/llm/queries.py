@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .components import hash_to_min, matches
 from .editdup import NearCopies
 from .formatdup import LayoutCopies
+from .packing import fill, pack
+from .splitoverlap import SplitOverlap
+from .stuffing import stuffed_pages
+from .tokenize import encode
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -35,12 +40,43 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return NearCopies(_t(spark, d, "injection_lab"), "id", "text").groups()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return SplitOverlap(_t(spark, d, "injection_lab"), "id", "text", "split").ids()
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return SplitOverlap(_t(spark, d, "injection_lab"), "id", "text", "split", ["source"]).report("source")
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(_t(spark, d, "documents"), "text", ["doc_id"])
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack(_t(spark, d, "documents"), "doc_id", "text", _t(spark, d, "pack_capacity")).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    kinds = _t(spark, d, "pack_capacity")
+    return fill(pack(_t(spark, d, "documents"), "doc_id", "text", kinds), kinds)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffed_pages(_t(spark, d, "documents"), "doc_id", "text", "lang").select(F.col("id").alias("doc_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p4_found": p4_found,
     "p4_records": p4_records,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
+    "p7_ids": p7_ids,
+    "p8_pack": p8_pack,
+    "p8_fill": p8_fill,
+    "p9_found": p9_found,
 }
 
 SQL: dict[str, str] = {}
