@@ -30,3 +30,12 @@ def with_nulls(column: pa.Array, null: np.ndarray) -> pa.Array:
 def lists(values: np.ndarray, limits: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and n + 1 offsets."""
     return pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(values, kind))
+
+
+def texts_of(column: pa.Array) -> list[str | None]:
+    """A string column as Python strings; bytes that are no UTF-8 become U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+        return [None if b is None else b.decode("utf-8", "replace") for b in raw]
