@@ -36,7 +36,7 @@ from ..scratch import Scratch
 from . import bloom
 
 SHARE = 0.75
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 40, 6
 BATCHES, PER_BATCH = 4, 16
 MISS = 0.002
 RARE = 1e-4
@@ -238,7 +238,8 @@ def near_pairs(df: DataFrame, text: str, n_texts: int, scratch: Scratch, share:
     fits = (F.col("a.key") < F.col("b.key")) & (F.least("a.n", "b.n") >= F.lit(share) * F.greatest("a.n", "b.n"))
     first = _possible(_agreeing(F.col("a.s1"), F.col("b.s1")), PER_BATCH, need)
     banded = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & fits & first)
-    pairs = scratch.keep(banded.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct())
+    # one exchange by key_a serves both the removal of repeats and the next join
+    pairs = banded.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).repartition("key_a").dropDuplicates(["key_a", "key_b"])
 
     side = lambda x: once.select(F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), *[F.col(s).alias(f"{s}_{x}") for s in _SIGS])
     known = pairs.join(side("a"), "key_a").join(side("b"), "key_b")
@@ -249,7 +250,7 @@ def near_pairs(df: DataFrame, text: str, n_texts: int, scratch: Scratch, share:
         agree = agree + _agreeing(F.col(f"{s}_a"), F.col(f"{s}_b"))
         keep = keep & _possible(agree, PER_BATCH * (k + 1), need)
     survivors = scratch.keep(known.where(keep).select("key_a", "key_b", "n_a", "n_b"))
-    scratch.drop(pairs, signed, twice)
+    scratch.drop(signed, twice)
 
     ends = survivors.select(F.explode(F.array("key_a", "key_b")).alias("key"))
     wanted = bloom.build(ends, "key", max(1, 2 * survivors.count()), repeated=False)

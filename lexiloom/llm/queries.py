@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .components import hash_to_min, matches
 from .editdup import NearCopies
 from .formatdup import LayoutCopies
+from .groupsplit import GroupSplit, plain_group
 from .packing import fill, pack
-from .splitoverlap import SplitOverlap
+from .proportions import TargetSample
+from .splitoverlap import SplitOverlap, source_name
 from .stuffing import stuffed_pages
 from .tokenize import encode
 
@@ -40,6 +42,45 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return NearCopies(_t(spark, d, "injection_lab"), "id", "text").groups()
 
 
+def _sources(spark: SparkSession, d: str) -> TargetSample:
+    targets = _t(spark, d, "target_shares").where("target_set = 'source_mix'")
+    records = _t(spark, d, "injection_lab").select("id", source_name(F.col("source")).alias("source"))
+    return TargetSample(records, "id", "source", targets)
+
+
+def _bands(spark: SparkSession, d: str) -> TargetSample:
+    targets = _t(spark, d, "target_shares").where("target_set = 'benign_band'")
+    n = F.coalesce(F.col("labels.`0`"), F.lit(0))
+    band = F.when(n <= 0, "none").when(n == 1, "1").when(n < 10, "2-9").when(n < 100, "10-99").otherwise("100+")
+    line = F.concat_ws("|", plain_group(F.col("`group`")), F.lower(F.trim("`partition`")), F.col("`rows`"), F.to_json("labels"), F.col("recorded_at"))
+    return TargetSample(_t(spark, d, "pool_ledger").select(line.alias("line"), band.alias("band")), "line", "band", targets)
+
+
+def p3_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _sources(spark, d).sample().select(F.col("key").alias("id"), "category", "rank", "priority")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return _sources(spark, d).report()
+
+
+def p3_ledger_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _bands(spark, d).sample().select(F.col("key").alias("line"), "category", "rank", "priority")
+
+
+def p3_ledger_report(spark: SparkSession, d: str) -> DataFrame:
+    return _bands(spark, d).report()
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return GroupSplit(_t(spark, d, "pool_ledger")).torn()
+
+
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    targets = _t(spark, d, "target_shares").where("target_set = 'split'")
+    return GroupSplit(_t(spark, d, "pool_ledger")).assign(targets)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return SplitOverlap(_t(spark, d, "injection_lab"), "id", "text", "split").ids()
 
@@ -69,10 +110,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_sample": p3_sample,
+    "p3_report": p3_report,
+    "p3_ledger_sample": p3_ledger_sample,
+    "p3_ledger_report": p3_ledger_report,
     "p4_found": p4_found,
     "p4_records": p4_records,
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p6_found": p6_found,
+    "p6_splits": p6_splits,
     "p7_ids": p7_ids,
     "p8_pack": p8_pack,
     "p8_fill": p8_fill,
