@@ -1,0 +1,233 @@
+"""Cluster bootstraps, intervals and multiple tests over long score tables.
+
+Rows are summed to (arm, model, group) before replicates are joined, so a bootstrap
+costs replicates times groups, never replicates times rows.  Draws come from key
+hashes and are the same in any partitioning.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import rng
+
+
+def indexed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): distinct keys numbered from 0 in key order."""
+    return df.select(key).distinct().withColumn(name, F.row_number().over(Window.orderBy(key)).cast("bigint") - 1)
+
+
+def cluster_weights(groups: DataFrame, group: str, reps: int, name: str) -> DataFrame:
+    """(rep, group, w): how often each group is drawn when as many groups as there are
+    are drawn with replacement; groups that are not drawn have no row."""
+    g = indexed(groups, group, "g")
+    n = g.agg(F.count("*").alias("n"))
+    slots = g.select("g").join(F.broadcast(n)).select("n", F.col("g").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    drawn = slots.select("rep", rng.bucket(F.col("n"), name, "rep", "slot").alias("g")).groupBy("rep", "g").agg(F.count("*").alias("w"))
+    return drawn.join(g, "g").select("rep", group, "w")
+
+
+def model_draws(models: DataFrame, arm: str, model: str, reps: int, name: str, shared: bool) -> DataFrame:
+    """(rep, arm, model, times): as many models as an arm has, with replacement; shared
+    draws are the same for all arms (aligned models)."""
+    m = models.select(arm, model).distinct().withColumns({"k": F.row_number().over(Window.partitionBy(arm).orderBy(model)).cast("bigint") - 1, "n": F.count("*").over(Window.partitionBy(arm))})
+    slots = m.select(arm, "n", F.col("k").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    key = [F.lit("all") if shared else F.col(arm), F.col("rep"), F.col("slot")]
+    drawn = slots.select("rep", arm, rng.bucket(F.col("n"), name + ":models", *key).alias("k")).groupBy("rep", arm, "k").agg(F.count("*").alias("times"))
+    return drawn.join(m.select(arm, "k", model, "n"), [arm, "k"]).select("rep", arm, model, "times", "n")
+
+
+def arm_means(cells: DataFrame, weights: DataFrame, draws: DataFrame, num: str = "num", den: str = "den") -> DataFrame:
+    """(rep, arm, mean): mean over drawn models of the weighted rate sum(num)/sum(den).
+    ``cells``: (arm, model, group, num, den), one row each."""
+    rates = cells.join(weights, "group").groupBy("rep", "arm", "model").agg((F.sum(F.col("w") * F.col(num)) / F.greatest(F.sum(F.col("w") * F.col(den)), F.lit(1e-12))).alias("rate"))
+    return rates.join(draws, ["rep", "arm", "model"]).groupBy("rep", "arm").agg((F.sum(F.col("rate") * F.col("times")) / F.sum("times")).alias("mean"))
+
+
+def bootstrap_diff(cells: DataFrame, a: str, b: str, reps: int, name: str, paired: bool) -> DataFrame:
+    """(rep, diff): mean of arm a less arm b; paired arms share model draws."""
+    two = cells.where(F.col("arm").isin(a, b))
+    weights = cluster_weights(two, "group", reps, name)
+    draws = model_draws(two, "arm", "model", reps, name, paired)
+    m = arm_means(two, weights, draws)
+    return _wide(m, [a, b]).select("rep", (F.col(a) - F.col(b)).alias("diff"))
+
+
+def _wide(means: DataFrame, arms: Sequence[str]) -> DataFrame:
+    return means.groupBy("rep").agg(*[F.max(F.when(F.col("arm") == x, F.col("mean"))).alias(x) for x in arms])
+
+
+def bootstrap_share(cells: DataFrame, base: str, raw: str, para: str, reps: int, name: str) -> DataFrame:
+    """(rep, t1, t3, share): t1 = para - raw, t3 = raw - base, share = t1 / -t3 (null at 0)."""
+    weights = cluster_weights(cells, "group", reps, name)
+    m = _wide(arm_means(cells, weights, model_draws(cells, "arm", "model", reps, name, False)), [base, raw, para])
+    t1, t3 = F.col(para) - F.col(raw), F.col(raw) - F.col(base)
+    return m.select("rep", t1.alias("t1"), t3.alias("t3"), F.when(t3 != 0, t1 / -t3).alias("share"))
+
+
+def bootstrap_interaction(cells: DataFrame, a: str, b: str, reps: int, name: str) -> DataFrame:
+    """(rep, diff): (a - b) in stratum 1 less (a - b) in stratum 2; ``cells`` also has
+    ``stratum``.  Strata share the groups' weights and the models' draws."""
+    weights = cluster_weights(cells, "group", reps, name)
+    draws = model_draws(cells, "arm", "model", reps, name, False)
+    rates = cells.join(weights, "group").groupBy("rep", "arm", "model", "stratum").agg((F.sum(F.col("w") * F.col("num")) / F.greatest(F.sum(F.col("w") * F.col("den")), F.lit(1e-12))).alias("rate"))
+    gap = rates.groupBy("rep", "arm", "model").agg((F.coalesce(F.max(F.when(F.col("stratum") == 1, F.col("rate"))), F.lit(0.0)) - F.coalesce(F.max(F.when(F.col("stratum") == 2, F.col("rate"))), F.lit(0.0))).alias("gap"))
+    m = gap.join(draws, ["rep", "arm", "model"]).groupBy("rep", "arm").agg((F.sum(F.col("gap") * F.col("times")) / F.sum("times")).alias("mean"))
+    return _wide(m, [a, b]).select("rep", (F.col(a) - F.col(b)).alias("diff"))
+
+
+def twoway_diff(cells: DataFrame, a: str, b: str, reps: int, name: str) -> DataFrame:
+    """(rep, diff) between two framings, clustered by row group and, within a framing,
+    by prefix: the product of both weights.  ``cells``: (arm, model, group, prefix, num,
+    den); prefixes are 0..max of their arm."""
+    weights = cluster_weights(cells, "group", reps, name)
+    size = cells.groupBy("arm").agg((F.max("prefix") + 1).cast("bigint").alias("n"))
+    slots = size.select("arm", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("slot"), F.lit(reps - 1).alias("top")).select("arm", "n", "slot", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("rep"))
+    v = slots.select("rep", "arm", rng.bucket(F.col("n"), name + ":prefix", "arm", "rep", "slot").alias("prefix")).groupBy("rep", "arm", "prefix").agg(F.count("*").alias("v"))
+    wv = F.col("w") * F.col("v")
+    summed = cells.join(weights, "group").join(v, ["rep", "arm", "prefix"]).groupBy("rep", "arm", "model").agg(F.sum(wv * F.col("num")).alias("num"), F.sum(wv * F.col("den")).alias("den"))
+    rate = F.col("num") / F.greatest(F.col("den"), F.lit(1e-12))
+    gap = summed.groupBy("rep", "model").agg((F.coalesce(F.max(F.when(F.col("arm") == a, rate)), F.lit(0.0)) - F.coalesce(F.max(F.when(F.col("arm") == b, rate)), F.lit(0.0))).alias("gap"))
+    draws = model_draws(cells.select(F.lit("all").alias("arm"), "model"), "arm", "model", reps, name, True)
+    return gap.join(draws, ["rep", "model"]).groupBy("rep").agg((F.sum(F.col("gap") * F.col("times")) / F.sum("times")).alias("diff"))
+
+
+def percentile_ci(df: DataFrame, value: str, level: float, by: Sequence[str] = ()) -> DataFrame:
+    """Linear percentile interval of the finite values."""
+    v = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value))
+    tail = (1 - level) / 2
+    return df.groupBy(*by).agg(F.percentile(v, F.lit(tail)).alias("low"), F.percentile(v, F.lit(1 - tail)).alias("high"))
+
+
+def boot_p(df: DataFrame, value: str, null: float = 0.0, margin: float = 0.02, by: Sequence[str] = ()) -> DataFrame:
+    """Two-sided bootstrap p (twice the smaller tail, at most 1) and the p of inferiority
+    by the margin."""
+    c = F.col(value)
+    lo, hi = F.avg((c <= null).cast("double")), F.avg((c >= null).cast("double"))
+    return df.groupBy(*by).agg(F.least(F.lit(1.0), 2 * F.least(lo, hi)).alias("p_two_sided"), F.avg((c <= -margin).cast("double")).alias("p_noninferior"))
+
+
+def holm(tests: DataFrame, test: str, p: str, alpha: float = 0.05) -> DataFrame:
+    """(test, p, used, rejected): Holm's step-down.  ``tests`` has a row per test."""
+    order = Window.orderBy(p, test)
+    r = tests.withColumns({"k": F.row_number().over(order), "m": F.count("*").over(Window.partitionBy())})
+    used = F.lit(alpha) / (F.col("m") - F.col("k") + 1)
+    kept = F.min((F.col(p) <= used).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return r.select(test, p, used.alias("used"), (kept == 1).alias("rejected"))
+
+
+# Student's t without SciPy: the regularised incomplete beta function by its
+# continued fraction, inverted by bisection.
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    tiny = 1e-300
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 500):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + num * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + num / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1) < 1e-16:
+            break
+    return h
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1) / (a + b + 2):
+        return front * _beta_fraction(a, b, x) / a
+    return 1 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+def t_cdf(t: float, df: float) -> float:
+    tail = incomplete_beta(df / 2, 0.5, df / (df + t * t)) / 2
+    return 1 - tail if t >= 0 else tail
+
+
+def t_quantile(p: float, df: float) -> float:
+    """Quantile of Student's t, p in (0, 1)."""
+    if p == 0.5:
+        return 0.0
+    if p < 0.5:
+        return -t_quantile(1 - p, df)
+    high = 1.0
+    while t_cdf(high, df) < p:
+        high *= 2
+    low = 0.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_cdf(mid, df) < p else (low, mid)
+    return (low + high) / 2
+
+
+def t_interval(df: DataFrame, value: str, level: float = 0.95) -> DataFrame:
+    """Student's t interval of a mean; the mean itself where all values are equal."""
+    s = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    n = df.where(F.col(value).isNotNull()).count()
+    half = F.lit(t_quantile(0.5 + level / 2, max(n - 1, 1))) * F.col("sd") / F.sqrt("n") if n > 1 else F.lit(None).cast("double")
+    return s.select("n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+
+
+def welch(df: DataFrame, arm: str, value: str, a: str, b: str, level: float = 0.95) -> DataFrame:
+    """Welch's interval of mean(a) - mean(b): the sums are distributed, the last step is
+    plain numbers of one row."""
+    s = {r[arm]: r for r in df.where(F.col(arm).isin(a, b)).groupBy(arm).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(value).alias("n")).collect()}
+    va, vb = s[a].v / s[a].n, s[b].v / s[b].n
+    d, se = s[a].m - s[b].m, math.sqrt(va + vb)
+    free = (va + vb) ** 2 / (va**2 / (s[a].n - 1) + vb**2 / (s[b].n - 1)) if se else None
+    half = t_quantile(0.5 + level / 2, free) * se if se else 0.0
+    return df.sparkSession.createDataFrame([(d, d - half, d + half, free)], "diff double, low double, high double, df double")
+
+
+def nadeau_bengio(df: DataFrame, value: str, n_train: int, n_test: int, level: float = 0.95) -> DataFrame:
+    """Corrected resampled t interval over overlapping splits; null for fewer than two."""
+    v = F.when(~F.isnan(value), F.col(value))
+    n = df.where(v.isNotNull()).count()
+    half = F.lit(t_quantile(0.5 + level / 2, n - 1)) * F.sqrt((1 / F.count(v) + F.lit(n_test / n_train)) * F.var_samp(v)) if n > 1 else F.lit(None).cast("double")
+    return df.agg(F.avg(v).alias("mean"), (F.avg(v) - half).alias("low"), (F.avg(v) + half).alias("high"))
+
+
+def decide(boot: Column, t: Column, complete: Column) -> Column:
+    """Status struct of a contrast from its two intervals (structs low, high)."""
+    below = (boot["high"] < 0).cast("int") + (t["high"] < 0).cast("int")
+    above = (boot["low"] > 0).cast("int") + (t["low"] > 0).cast("int")
+    some = lambda c: F.when(complete, c)
+    return F.struct(F.when(complete, "complete").otherwise("incomplete").alias("status"), some(below == 2).alias("reduction"), some(above == 2).alias("increase"), some((below == 1) | (above == 1)).alias("fragile"), some((boot["high"] < -0.05) & (t["high"] < -0.05)).alias("beyond_5_points"))
+
+
+def mcnemar_power(n: int, p10: float, p01: float, alpha: float = 0.05) -> float:
+    """Exact power of the two-sided McNemar test of n pairs with discordance p10, p01."""
+    disc, power = p10 + p01, 0.0
+    share = p10 / disc if disc else 0.5
+    lg = math.lgamma
+    pmf = lambda k, m, p: math.exp(lg(m + 1) - lg(k + 1) - lg(m - k + 1) + (k * math.log(p) if k else 0) + ((m - k) * math.log1p(-p) if m - k else 0)) if 0 < p < 1 else float(k == (m if p >= 1 else 0))
+    for m in range(n + 1):
+        pm = pmf(m, n, disc)
+        if pm < 1e-15:
+            continue
+        tail, k = 0.0, -1
+        while k + 1 <= m and 2 * (tail + pmf(k + 1, m, 0.5)) <= alpha:
+            k += 1
+            tail += pmf(k, m, 0.5)
+        if k >= 0:
+            power += pm * sum(pmf(i, m, share) + pmf(m - i, m, share) for i in range(k + 1))
+    return power
+
+
+def planned_pairs(p10: float, p01: float, power: float = 0.8, alpha: float = 0.05, step: int = 25, most: int = 20_000) -> int | None:
+    """The smallest multiple of ``step`` pairs that reaches the power; null beyond ``most``."""
+    for n in range(step, most + 1, step):
+        if mcnemar_power(n, p10, p01, alpha) >= power:
+            return n
+    return None
