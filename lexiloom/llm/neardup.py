@@ -5,14 +5,15 @@ counted with repeats and in any order, of the longer text's words.
 
 1. Document frequencies of all words are counted over all texts.  Words in more
    than ``RARE`` of the texts are broadcast with their weight, the logarithm of
-   the inverse frequency; there can be at most (mean words a text) / RARE.
+   the inverse frequency to the power POWER; there can be at most (mean words a
+   text) / RARE.
 2. Every distinct text gets BANDS bucket hashes of ROWS weighted minhashes each
    (candidates), and 64 plain minhashes of its bag of words in four batches of
    16, 4 bits each (verification).
 3. Texts in one bucket are candidates.  Batch by batch the pair's posterior
    probability of being similar enough is looked up; the pair is dropped where
-   that is below MISS.  The first batch travels with the bucket rows, so most
-   candidates go before any further shuffle.
+   that is below MISS.  The first two batches travel with the bucket rows, so
+   most candidates go before any further shuffle.
 4. Survivors are verified exactly on their whole bags of words.
 
 The necessary bag similarity (Jaccard) of a pair follows from its lengths; it
@@ -40,6 +41,7 @@ BANDS, ROWS = 40, 6
 BATCHES, PER_BATCH = 4, 16
 MISS = 0.002
 RARE = 1e-4
+POWER = 0.5
 
 _NIBBLES = 0x1111111111111111
 
@@ -115,7 +117,7 @@ def word_weights(texts: DataFrame, text: str, n_texts: int) -> tuple[np.ndarray,
     common = counted.where(F.col("n") >= F.lit(RARE * n_texts)).toPandas()  # at most mean words / RARE rows
     words, n = common["word"].to_numpy(np.int64).view(np.uint64), common["n"].to_numpy(float)
     order = np.argsort(words)
-    return words[order], np.maximum(-np.log(n[order] / max(1, n_texts)), 1e-3).astype(np.float32)
+    return words[order], (np.maximum(-np.log(n[order] / max(1, n_texts)), 1e-3) ** POWER).astype(np.float32)
 
 
 def _mixed(tok: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -132,7 +134,7 @@ class Signer:
 
     def __init__(self, common: np.ndarray, weights: np.ndarray) -> None:
         self.common, self.weights = common, weights
-        self.rare = np.float32(-np.log(RARE))
+        self.rare = np.float32((-np.log(RARE)) ** POWER)
         self.salts = seeded(0x2545F491, BANDS * ROWS + BATCHES * PER_BATCH)
 
     def bag(self, w: Words, hashed: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,12 +234,14 @@ def near_pairs(df: DataFrame, text: str, n_texts: int, scratch: Scratch, share:
     twice = scratch.keep(signed.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("times")).where("times > 1").select("key", "first"))
     once = signed.join(twice, "key", "left").where("first is null or row = first")
 
-    rows = once.select(F.explode("buckets").alias("bucket"), "key", "n", "s1")
+    rows = once.select(F.explode("buckets").alias("bucket"), "key", "n", "s1", "s2")
     a, b = rows.alias("a"), rows.alias("b")
     need = needed_similarity(F.col("a.n"), F.col("b.n"), share)
     fits = (F.col("a.key") < F.col("b.key")) & (F.least("a.n", "b.n") >= F.lit(share) * F.greatest("a.n", "b.n"))
-    first = _possible(_agreeing(F.col("a.s1"), F.col("b.s1")), PER_BATCH, need)
-    banded = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & fits & first)
+    first = _agreeing(F.col("a.s1"), F.col("b.s1"))
+    second = first + _agreeing(F.col("a.s2"), F.col("b.s2"))
+    alike = _possible(first, PER_BATCH, need) & _possible(second, 2 * PER_BATCH, need)
+    banded = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & fits & alike)
     # one exchange by key_a serves both the removal of repeats and the next join
     pairs = banded.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).repartition("key_a").dropDuplicates(["key_a", "key_b"])
 
