@@ -80,8 +80,8 @@ def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) ->
     """(key, n): integers in proportion to weights that sum to total; what flooring
     leaves goes to the largest fractions, ties by key.  ``weights`` has one row per
     category."""
-    whole = weights.agg(F.sum(weight).alias("w"))
-    raw = weights.join(F.broadcast(whole)).withColumn("raw", F.round(F.col(weight) / F.col("w") * total, 12))
+    whole = weights.agg(F.sum(weight).alias("_whole"))
+    raw = weights.join(F.broadcast(whole)).withColumn("raw", F.round(F.col(weight) / F.col("_whole") * total, 12))
     base = raw.withColumn("base", F.floor("raw"))
     r = F.row_number().over(Window.orderBy(F.desc(F.col("raw") - F.col("base")), key))
     left = F.lit(total) - F.sum("base").over(Window.partitionBy())
