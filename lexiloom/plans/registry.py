@@ -30,4 +30,4 @@ def lab(spark: SparkSession, d: str) -> DataFrame:
 
 def load() -> None:
     """Import the query modules, which register themselves."""
-    from . import corpus_queries, score_queries, text_queries  # noqa: F401
+    from . import corpus_queries, model_queries, score_queries, text_queries  # noqa: F401
