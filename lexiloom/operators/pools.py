@@ -67,7 +67,8 @@ def semantic_far(df: DataFrame, reference: DataFrame, id: str, text: str, cutoff
     both sides) to a reference row is below the cutoff; all rows if there are none."""
     normal = F.lower(F.col(text))
     tag = lambda x, t: x.select(F.concat(F.lit(t), F.col(id).cast("string")).alias("k"), text)
-    a, b = (X.char_wb(tag(x, t), "k", normal, 3, 4) for x, t in ((df, "c:"), (reference, "r:")))
+    scratch = Scratch(df.sparkSession)
+    a, b = (scratch.keep(X.char_wb(tag(x, t), "k", normal, 3, 4)) for x, t in ((df, "c:"), (reference, "r:")))
     fit = a.unionByName(b)
     hits = X.cosine_pairs(X.tfidf(a, fit, terms), X.tfidf(b, fit, terms), cutoff).select(F.substring("i", 3, 1 << 20).alias("k")).distinct()
     return df.withColumn("k", F.col(id).cast("string")).join(hits, "k", "left_anti").drop("k")
