@@ -342,7 +342,7 @@ def test_packing(spark):
 
 def _page(rng, kind):
     name = lambda: "".join(rng.choices("abcdefghijklmnoprstuvwz", k=rng.randrange(3, 9)))
-    prose = lambda k: " ".join(f"The {name()} {name()} of {name()} near {rng.choice(['Ulm', 'Bonn', 'Graz'])} was {rng.choice(['quiet', 'late', 'old'])} when {rng.randrange(99)} people came to see it there." for _ in range(k))
+    prose = lambda k: " ".join("The " + " ".join(name() for _ in range(11)) + "." for _ in range(k))
     words = ["buy", "cheap", "guard", "best", "price", "online", "shield"]
     if kind == "prose":
         return prose(12)
