@@ -126,4 +126,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
 }
 
-SQL: dict[str, str] = {}
+# Only what SQL can express on whole tables; the others are tested against brute force.
+_PART = "replace(lower(trim(\"partition\", ' ' || chr(9) || chr(10) || chr(13))), '_', '-')"
+SQL: dict[str, str] = {
+    "p6_found": f"""SELECT group_key FROM (
+        SELECT 'g:' || regexp_extract(lower("group"), '([0-9a-f]{{20}})', 1) AS group_key, CASE WHEN starts_with({_PART}, 't-bank') THEN 't-bank' ELSE {_PART} END AS part
+        FROM pool_ledger WHERE "rows" > 0 AND "group" IS NOT NULL AND {_PART} <> '')
+    GROUP BY group_key HAVING count(DISTINCT part) > 1""",
+}
