@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrowkit import binary16, with_nulls
+from ..functions.arrowkit import binary16, texts_of, with_nulls
 from ..functions.wordkernel import Words, mix64, sequence_hash, split_words
 
 #: The field names of the corpus.
@@ -87,7 +87,7 @@ def canonical(df: DataFrame, text: str, keep: list[str], names: tuple[str, ...]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = batch.column("_text").to_pylist()
+            texts = texts_of(batch.column("_text"))
             parts = []
             for w in split_words(texts):
                 lanes = [w.hashes(0), w.hashes(1)]

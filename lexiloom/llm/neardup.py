@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrowkit import lists
+from ..functions.arrowkit import lists, texts_of
 from ..functions.wordkernel import Words, mix64, occurrence_numbers, seeded, split_words
 from ..scratch import Scratch
 from . import bloom
@@ -97,7 +97,7 @@ def word_weights(texts: DataFrame, text: str, n_texts: int) -> tuple[np.ndarray,
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["word", "n"])
 
         for batch in batches:
-            for w in split_words(batch.column(0).to_pylist()):
+            for w in split_words(texts_of(batch.column(0))):
                 h, d = w.hashes(0), w.doc()
                 order = np.lexsort((d, h))
                 h, d = h[order], d[order]
@@ -192,7 +192,7 @@ def signatures(df: DataFrame, text: str, common: np.ndarray, weights: np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, seen = Signer(*held.value), set()
         for batch in batches:
-            for w in split_words(batch.column(0).to_pylist()):
+            for w in split_words(texts_of(batch.column(0))):
                 key = w.sequence_hashes(w.hashes(1), 1)
                 pick = _first_of_partition(seen, key, w.counts > 0)
                 if not pick.any():
@@ -217,7 +217,7 @@ def bags(df: DataFrame, text: str, wanted: bloom.Filter) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, seen = Signer(*none), set()
         for batch in batches:
-            for w in split_words(batch.column(0).to_pylist()):
+            for w in split_words(texts_of(batch.column(0))):
                 key = w.sequence_hashes(w.hashes(1), 1)
                 pick = _first_of_partition(seen, key, (w.counts > 0) & wanted.holds(key))
                 if pick.any():
