@@ -9,6 +9,12 @@
    are stratified by their label profile and size and laid along the target
    proportions in random order, stratum after stratum.
 
+Lines of a ledger are summed once each.  A repeat is the same whole line: group,
+partition, rows, both labels, sources and time, in their plain spelling.  A repeat
+may also come early or late: the same line at another time that stands alone, no
+other line of its group being of its day or the days beside it.  Equal lines among
+others of their group are lines of their own.
+
 Defined results: null entities link nothing; a record without entities is a
 component of its own and is not in the entity table.
 """
@@ -71,13 +77,23 @@ class GroupSplit:
     ``entities``: columns whose values tie lines together; the first is the group.
     """
 
-    def __init__(self, ledger: DataFrame, group: str = "group", partition: str = "partition", rows: str = "rows", labels: str = "labels") -> None:
+    def __init__(self, ledger: DataFrame, group: str = "group", partition: str = "partition", rows: str = "rows", labels: str = "labels", sources: str = "sources", time: str = "recorded_at") -> None:
         self.scratch = Scratch(ledger.sparkSession)
-        held = F.col(f"`{rows}`")
-        lines = ledger.select(plain_group(F.col(f"`{group}`")).alias("group_key"), plain_partition(F.col(f"`{partition}`")).alias("part"), held.cast("long").alias("n"), F.coalesce(F.col(f"`{labels}`.`1`"), F.lit(0)).cast("long").alias("positive"))
-        counted = lines.where("group_key is not null and part is not null and n > 0").distinct()
+        label = lambda k: F.coalesce(F.col(f"`{labels}`.`{k}`"), F.lit(0)).cast("long")
+        # tables without sources or times have lines that are told apart by the rest
+        named = F.array_sort(F.map_entries(F.col(f"`{sources}`"))) if sources in ledger.columns else F.lit(None).cast("string")
+        at = F.col(f"`{time}`").cast("timestamp") if time in ledger.columns else F.lit(None).cast("timestamp")
+        lines = ledger.select(plain_group(F.col(f"`{group}`")).alias("group_key"), plain_partition(F.col(f"`{partition}`")).alias("part"), F.col(f"`{rows}`").cast("long").alias("n"), label(0).alias("benign"), label(1).alias("positive"), named.alias("sources"), at.alias("at"))
+        once = lines.where("group_key is not null and part is not null and n > 0").distinct()
+        same = ["group_key", "part", "n", "benign", "positive", "sources"]
+        daily = self.scratch.keep(once.withColumn("day", F.to_date("at")).groupBy(*same, "day").agg(F.count("*").alias("lines")))
+        around = F.explode(F.array(F.date_sub("day", 1), F.col("day"), F.date_add("day", 1))).alias("day")
+        lone = daily.where("day is not null").select("group_key", around, "lines").groupBy("group_key", "day").agg(F.sum("lines").alias("lines")).where("lines = 1").select("group_key", "day", F.lit(0).alias("beside"))
+        # of equal lines those among others count, else one
+        beside = F.sum(F.coalesce("beside", "lines"))
+        counted = daily.join(lone, ["group_key", "day"], "left").groupBy(*same).agg(F.greatest(beside, F.lit(1)).alias("lines"))
         # a record of the ledger is what a group has in a partition
-        self.records = self.scratch.keep(counted.groupBy("group_key", "part").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")))
+        self.records = self.scratch.keep(counted.groupBy("group_key", "part").agg(F.sum(F.col("n") * F.col("lines")).alias("n"), F.sum(F.col("positive") * F.col("lines")).alias("positive")))
         named = self.records.select(F.concat_ws(" ", "group_key", "part").alias("record"), "group_key")
         self.components = entity_components(named, "record", "group_key", self.scratch)
 

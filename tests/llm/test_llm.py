@@ -258,6 +258,18 @@ def test_groups_are_not_divided(spark):
     assert empty.torn().count() == 0 and empty.assign(targets).count() == 0
 
 
+def test_ledger_lines_count_once_each(spark):
+    at = lambda d, h=0: f"2025-03-{d:02} {h:02}:00:00"
+    g = [f"g:{i:020x}" for i in range(4)]
+    data = [(g[0], 1, "S-train", (1, None), {f"s{i % 5}": 1}, at(1 + i // 24, i % 24)) for i in range(200)]  # hot: one-row lines
+    data += [(g[1], 2, "S-train", (2, 0), {"a": 1, "b": 1}, at(1)), (g[1].upper(), 2, " s_train", (2, None), {"b": 1, "a": 1}, at(1)), (g[1], 2, "S-train", (2, 0), {"c": 2}, at(1, 5))]
+    data += [(g[2], 3, "S-train", (3, 0), {"a": 3}, at(2)), (g[2], 3, "S-train", (3, 0), {"a": 3}, at(20)), (g[2], 4, "S-train", (0, 4), {"a": 4}, at(2, 7))]  # late repeat
+    data += [(g[3], 1, "S-train", (1, 0), None, at(3)), (g[3], 1, "S-train", (1, 0), None, at(28)), (g[3], 1, "S-test", (0, 1), None, None)]
+    df = spark.createDataFrame([(*r[:5], r[5]) for r in data], "`group` string, `rows` long, `partition` string, labels struct<`0`: long, `1`: long>, sources map<string, long>, recorded_at string")
+    out = GroupSplit(df).records.groupBy("group_key").agg(F.sum("n"), F.sum("positive"))
+    assert rows(out) == [(g[0], 200, 0), (g[1], 4, 0), (g[2], 7, 4), (g[3], 2, 1)]
+
+
 # ---- 7 ----
 
 ODD = ["", "it's I'LL 've''s 'r e", "a  b\n\n c \t\t", " \n", "日本語 text１２³", "<|endoftext|> <|im_start|>", "\x00\x1c\x85 \x7f", "𝒳🔥🔥 é", "a" * 3000 + " " * 500 + "'s" * 40, "don't'S'd'll'x", "１'t", "x   y　z", "�​''"]
