@@ -124,6 +124,23 @@ def test_edit_pairs_brute_force(spark):
     assert {(r.i, r.j) for r in X.edit_pairs(spark.createDataFrame(list(texts.items()), "id int, text string"), "id", F.col("text")).collect()} == want
 
 
+@pytest.mark.parametrize("cutoff,lengths,steps", [(0.9, (200, 500), (6, 7, 8)), (0.9, (12, 24, 60), (6, 9)), (0.75, (24, 90), (3,)), (0.96, (150,), (13, 16))])
+def test_edit_pairs_with_scattered_edits(spark, cutoff, lengths, steps):
+    rng = random.Random(5)
+    texts = {}
+    for n in lengths:
+        for step in steps:
+            for _ in range(4):
+                t = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+                texts[len(texts)] = t
+                texts[len(texts)] = "".join(c for k, c in enumerate(t, 1) if k % step)
+                texts[len(texts)] = "".join(c + ("#" if k % (2 * step) == 0 else "") for k, c in enumerate(t, 1))
+    ratio = lambda a, b: max(difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), difflib.SequenceMatcher(None, b, a, autojunk=False).ratio())
+    want = {(i, j) for i in texts for j in texts if i < j and ratio(texts[i], texts[j]) >= cutoff}
+    assert len(want) >= len(texts) // 3
+    assert {(r.i, r.j) for r in X.edit_pairs(spark.createDataFrame(list(texts.items()), "id int, text string"), "id", F.col("text"), cutoff).collect()} == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_weighted_recall_at_fpr_brute_force(spark, seed):
     rng = random.Random(seed)
