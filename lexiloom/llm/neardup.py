@@ -37,7 +37,7 @@ from ..scratch import Scratch
 from . import bloom
 
 SHARE = 0.75
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 48, 5
 BATCHES, PER_BATCH = 4, 16
 MISS = 0.002
 RARE = 1e-4

@@ -152,6 +152,16 @@ def test_near_duplicates_brute_force(spark):
     assert none.pairs().count() == 0 and none.groups().count() == 0
 
 
+def test_pairs_at_the_threshold_are_found(spark):
+    # equal lengths and 75 of 100 words shared: bag similarity 0.6, the least that a pair may have
+    data = []
+    for i in range(400):
+        t = [f"w{i}x{k}" for k in range(125)]
+        data += [(f"a{i:03}", " ".join(t[:100])), (f"b{i:03}", " ".join(t[25:]))]
+    got = set(rows(NearCopies(spark.createDataFrame(data, "id string, text string"), "id", "text").pairs()))
+    assert got <= {(f"a{i:03}", f"b{i:03}") for i in range(400)} and len(got) >= 0.92 * 400
+
+
 def test_posterior_bounds_rise_with_agreement():
     t = neardup.reachable(64)
     assert list(t) == sorted(t) and t[64] == 1 and t[20] < 0.6 < t[40]
