@@ -5,9 +5,10 @@
    smallest label of the other; a round ends with a jump to the label's own label,
    so that long chains take few rounds.
 2. Components are assigned to splits.  The few components that hold more than one
-   in SHARE of all rows are placed one by one where they deviate least; all others
-   are stratified by their label profile and size and laid along the target
-   proportions in random order, stratum after stratum.
+   in SHARE of all rows are placed one by one where the splits' rows and labels then
+   deviate least; all others are stratified by their label profile and size and laid
+   in random order, stratum after stratum, along the proportions that fill what is
+   open in rows and in positives.
 
 Lines of a ledger are summed once each.  A repeat is the same whole line: group,
 partition, rows, both labels, sources and time, in their plain spelling.  A repeat
@@ -71,6 +72,64 @@ def plain_partition(column: Column) -> Column:
     return F.when(s != "", F.coalesce(F.element_at(named, s), s))
 
 
+def place_large(sizes: list[tuple[int, int]], shares: list[float], total: int, positive: int) -> tuple[list[int], list[list[int]]]:
+    """Split of each (rows, positives), in this order, and [rows, positives] of the splits.
+
+    A component goes where the splits' positives and negatives deviate least from their
+    shares of what is placed so far, among the splits that have room for it; if none
+    has, to the one with most room.
+    """
+    held = [[0, 0] for _ in shares]
+    whole = (max(1, positive), max(1, total - positive))
+    placed, out = [0, 0], []
+
+    def deviation(at: int, n: int, p: int) -> float:
+        # only this split's terms change with the choice
+        def term(x: int, more: tuple[int, int]) -> float:
+            now = (held[x][1] + more[1], held[x][0] - held[x][1] + more[0] - more[1])
+            due = (placed[1] + p, placed[0] - placed[1] + n - p)
+            return sum(((a - shares[x] * d) / w) ** 2 for a, d, w in zip(now, due, whole)) / shares[x]
+
+        return term(at, (n, p)) - term(at, (0, 0))
+
+    for n, p in sizes:
+        room = [x for x, s in enumerate(shares) if held[x][0] + n <= s * total]
+        at = min(room, key=lambda x: deviation(x, n, p)) if room else max(range(len(shares)), key=lambda x: shares[x] * total - held[x][0])
+        for k, v in enumerate((n, p)):
+            held[at][k] += v
+            placed[k] += v
+        out.append(at)
+    return out, held
+
+
+def fill_shares(strata: list[tuple[int, int]], rows: list[float], positives: list[float]) -> list[list[float]]:
+    """For strata of (rows, positives) the shares of each that go to the splits, so that
+    these get about the wanted rows and positives.
+
+    A stratum with a share r of positives gives r * a + (1 - r) * b to a split; a and b
+    solve both sums.  Shares below zero become zero.
+    """
+    n, p = sum(x for x, _ in strata), sum(y for _, y in strata)
+    base = sum(rows) or 1.0
+    rows = [x / base * n for x in rows]
+    positives = [min(x, y) for x, y in zip(positives, rows)]
+    base = sum(positives) or 1.0
+    positives = [x / base * p for x in positives]
+    pp, pn, nn = (sum(f(y / x) * x for x, y in strata) for f in (lambda r: r * r, lambda r: r * (1 - r), lambda r: (1 - r) ** 2))
+    det = pp * nn - pn * pn
+    if n == 0 or det <= 1e-9 * n * n:
+        a = b = [x / max(1, n) for x in rows]
+    else:
+        a = [(q * nn - (x - q) * pn) / det for x, q in zip(rows, positives)]
+        b = [((x - q) * pp - q * pn) / det for x, q in zip(rows, positives)]
+    out = []
+    for x, y in strata:
+        given = [max(0.0, y / x * u + (1 - y / x) * v) for u, v in zip(a, b)]
+        whole = sum(given)
+        out.append([g / whole for g in given] if whole else [x / max(1, n) for x in rows])
+    return out
+
+
 class GroupSplit:
     """Groups of a ledger, their components and their assignment to splits.
 
@@ -111,28 +170,22 @@ class GroupSplit:
             raise ValueError("no target shares")
         whole = sum(s for _, s in goals)
         goals = [(c, s / whole) for c, s in goals]
-        sized = self.records.join(self.components.withColumnRenamed("entity", "group_key"), "group_key").groupBy("component").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
+        sized = self.records.join(self.components.withColumnRenamed("entity", "group_key"), "group_key").groupBy("component").agg(F.sum("n").alias("n"), F.least(F.sum("positive"), F.sum("n")).alias("positive"))
         # a component's stratum: its label profile in fifths and its size in powers of four
-        profile = F.floor(F.least(F.col("positive"), F.col("n")) * 5 / (F.col("n") + 1))
+        profile = F.floor(F.col("positive") * 5 / (F.col("n") + 1))
         sized = self.scratch.keep(sized.withColumn("stratum", profile * 100 + F.floor(F.log2("n") / 2)).withColumn("draw", F.xxhash64(F.lit(seed), "component")).withColumn("slice", F.pmod(F.shiftright("draw", 56), F.lit(BUCKETS)).cast("int")))
-        total = sized.agg(F.sum("n")).first()[0] or 0
+        total, positive = (x or 0 for x in sized.agg(F.sum("n"), F.sum("positive")).first())
         big = sized.where(F.col("n") * SHARE > F.lit(total)).orderBy(F.desc("n"), "component").collect()  # at most SHARE rows
-        filled = {c: 0 for c, _ in goals}
-        chosen = []
-        for r in big:
-            split = max(goals, key=lambda g: g[1] * total - filled[g[0]])[0]
-            filled[split] += r.n
-            chosen.append((r.component, split))
+        names, shares = [c for c, _ in goals], [s for _, s in goals]
+        at, held = place_large([(r.n, r.positive) for r in big], shares, total, positive)
         spark = self.records.sparkSession
-        first = spark.createDataFrame(chosen, "component string, split string")
+        first = spark.createDataFrame([(r.component, names[x]) for r, x in zip(big, at)], "component string, split string")
         small = sized.where(F.col("n") * SHARE <= F.lit(total))
-        # what the big ones left open, laid over 0..1
-        open_ = {c: max(0.0, s * total - filled[c]) for c, s in goals}
-        left = sum(open_.values()) or 1.0
-        at, split = 0.0, F.lit(goals[0][0])
-        for c, _ in goals:
-            split = F.when(F.col("place") >= at, c).otherwise(split)
-            at += open_[c] / left
+        # what the large ones left open, laid over 0..1 of every stratum; strata are few (5 profiles, 32 sizes)
+        strata = small.groupBy("stratum").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).orderBy("stratum").collect()
+        open_ = [[max(0.0, s * t - h[k]) for s, h in zip(shares, held)] for k, t in enumerate((total, positive))]
+        given = fill_shares([(r.n, r.positive) for r in strata], *open_)
+        ends = spark.createDataFrame([(r.stratum, [sum(g[: k + 1]) for k in range(len(g) - 1)]) for r, g in zip(strata, given)], "stratum long, ends array<double>")
         # running rows before a component, stratum by stratum: sums of slices (a bounded
         # number) are added to sums within a slice, so that no window spans all rows
         sliced = small.groupBy("stratum", "slice").agg(F.sum("n").alias("rows"))
@@ -140,7 +193,10 @@ class GroupSplit:
         offset = sliced.select("stratum", "slice", F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("offset"), F.sum("rows").over(Window.partitionBy("stratum")).alias("stratum_rows"))
         inside = Window.partitionBy("stratum", "slice").orderBy("draw", "component").rowsBetween(Window.unboundedPreceding, -1)
         run = small.join(F.broadcast(offset), ["stratum", "slice"]).withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("offset"))
-        rest = run.withColumn("place", (F.col("before") + F.col("n") / 2) / F.col("stratum_rows")).select("component", split.alias("split"))
+        place = (F.col("before") + F.col("n") / 2) / F.col("stratum_rows")
+        passed = F.size(F.filter("ends", lambda e: e <= F.col("place")))
+        split = F.element_at(F.array(*[F.lit(c) for c in names]), passed + 1)
+        rest = run.withColumn("place", place).join(F.broadcast(ends), "stratum").select("component", split.alias("split"))
         placed = first.unionByName(rest)
         groups = self.records.groupBy("group_key").agg(F.sum("n").alias("n"))
         return groups.join(self.components.withColumnRenamed("entity", "group_key"), "group_key").join(placed, "component").select("group_key", "split", "n")

@@ -280,6 +280,25 @@ def test_ledger_lines_count_once_each(spark):
     assert rows(out) == [(g[0], 200, 0), (g[1], 4, 0), (g[2], 7, 4), (g[3], 2, 1)]
 
 
+def test_labels_are_alike_in_all_splits(spark):
+    rng = random.Random(18)
+    data = []
+    for i in range(3000):  # 60 large groups hold half of the rows and few positives
+        n = rng.randrange(80, 120) if i < 60 else rng.choice((1, 2, 3))
+        p = sum(rng.random() < (0.1 if i < 60 else 0.4) for _ in range(n))
+        data.append((f"g:{i:020x}", n, "S-train", (n - p, p)))
+    data.append((f"g:{9999:020x}", 6000, "S-train", (6000, 0)))  # one group and one label for a third
+    df = spark.createDataFrame(data, "`group` string, `rows` long, `partition` string, labels struct<`0`: long, `1`: long>")
+    targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "category string, share double")
+    positives = {g: y[1] for g, _, _, y in data}
+    per, pos = Counter(), Counter()
+    for r in GroupSplit(df).assign(targets).collect():
+        per[r.split] += r.n
+        pos[r.split] += positives[r.group_key]
+    total, share = sum(per.values()), sum(pos.values()) / sum(per.values())
+    assert all(abs(per[s] / total - t) < 0.01 and abs(pos[s] / per[s] - share) < 0.02 for s, t in (("train", 0.8), ("validation", 0.1), ("test", 0.1))), (per, pos)
+
+
 # ---- 7 ----
 
 ODD = ["", "it's I'LL 've''s 'r e", "a  b\n\n c \t\t", " \n", "日本語 text１２³", "<|endoftext|> <|im_start|>", "\x00\x1c\x85 \x7f", "𝒳🔥🔥 é", "a" * 3000 + " " * 500 + "'s" * 40, "don't'S'd'll'x", "１'t", "x   y　z", "�​''"]
