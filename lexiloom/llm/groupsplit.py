@@ -22,6 +22,8 @@ component of its own and is not in the entity table.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,10 +135,11 @@ def fill_shares(strata: list[tuple[int, int]], rows: list[float], positives: lis
 class GroupSplit:
     """Groups of a ledger, their components and their assignment to splits.
 
-    ``entities``: columns whose values tie lines together; the first is the group.
+    ``entities``: further columns whose values tie the groups of lines together, as an
+    author or a source page; without any, each group is a component of its own.
     """
 
-    def __init__(self, ledger: DataFrame, group: str = "group", partition: str = "partition", rows: str = "rows", labels: str = "labels", sources: str = "sources", time: str = "recorded_at") -> None:
+    def __init__(self, ledger: DataFrame, group: str = "group", partition: str = "partition", rows: str = "rows", labels: str = "labels", sources: str = "sources", time: str = "recorded_at", entities: Sequence[str] = ()) -> None:
         self.scratch = Scratch(ledger.sparkSession)
         label = lambda k: F.coalesce(F.col(f"`{labels}`.`{k}`"), F.lit(0)).cast("long")
         # tables without sources or times have lines that are told apart by the rest
@@ -153,8 +156,13 @@ class GroupSplit:
         counted = daily.join(lone, ["group_key", "day"], "left").groupBy(*same).agg(F.greatest(beside, F.lit(1)).alias("lines"))
         # a record of the ledger is what a group has in a partition
         self.records = self.scratch.keep(counted.groupBy("group_key", "part").agg(F.sum(F.col("n") * F.col("lines")).alias("n"), F.sum(F.col("positive") * F.col("lines")).alias("positive")))
-        named = self.records.select(F.concat_ws(" ", "group_key", "part").alias("record"), "group_key")
-        self.components = entity_components(named, "record", "group_key", self.scratch)
+        links = self.records.select(F.col("group_key").alias("record"), F.col("group_key").alias("entity"))
+        counts = plain_partition(F.col(f"`{partition}`")).isNotNull() & (F.col(f"`{rows}`") > 0)
+        for e in entities:
+            value = F.concat(F.lit(f"{e}="), F.col(f"`{e}`").cast("string"))
+            links = links.unionByName(ledger.where(counts).select(plain_group(F.col(f"`{group}`")).alias("record"), value.alias("entity")))
+        components = entity_components(links, "record", "entity", self.scratch)
+        self.components = components.where(F.col("entity").rlike("^g:[0-9a-f]{20}$")) if entities else components
 
     def torn(self) -> DataFrame:
         """(group_key): groups whose component lies in two or more partitions."""

@@ -299,6 +299,18 @@ def test_labels_are_alike_in_all_splits(spark):
     assert all(abs(per[s] / total - t) < 0.01 and abs(pos[s] / per[s] - share) < 0.02 for s, t in (("train", 0.8), ("validation", 0.1), ("test", 0.1))), (per, pos)
 
 
+def test_entities_tie_groups_together(spark):
+    g = [f"g:{i:020x}" for i in range(5)]
+    data = [(g[0], 1, "S-train", "ann"), (g[1], 1, "S-test", "ann"), (g[1], 1, "S-test", "bob"), (g[2], 1, "S-test", "bob"), (g[3], 1, "S-test", None), (g[4], 1, "S-train", None), (g[4], 0, "S-train", "ann")]
+    df = spark.createDataFrame(data, "`group` string, `rows` long, `partition` string, author string").withColumn("labels", F.lit(None).cast("struct<`0`: long, `1`: long>"))
+    tied = GroupSplit(df, entities=["author"])
+    assert rows(tied.torn()) == [(x,) for x in g[:3]]
+    targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "category string, share double")
+    split = {r.group_key: r.split for r in tied.assign(targets).collect()}
+    assert len(split) == 5 and len({split[x] for x in g[:3]}) == 1
+    assert rows(GroupSplit(df).torn()) == []
+
+
 # ---- 7 ----
 
 ODD = ["", "it's I'LL 've''s 'r e", "a  b\n\n c \t\t", " \n", "日本語 text１２³", "<|endoftext|> <|im_start|>", "\x00\x1c\x85 \x7f", "𝒳🔥🔥 é", "a" * 3000 + " " * 500 + "'s" * 40, "don't'S'd'll'x", "１'t", "x   y　z", "�​''"]
