@@ -5,7 +5,8 @@ about BLOCK_CHARS.  Of each block are measured
 
 * redundancy: its compressed size, links and tags standing for one character each
   and digits for one digit, per byte of the block, divided by the usual ratio: the
-  median over all blocks of sentences of this length and language in the corpus;
+  median over all blocks of sentences of this length and language in the corpus,
+  drawn towards the median of all languages as if OVERALL blocks had that;
 * sentence density: the share of its characters in units that end like sentences
   and have a sentence's number of words;
 * the mean number of words between list separators outside sentences.
@@ -38,6 +39,8 @@ SENTENCE_WORDS = (8, 80)
 #: Relative compression ratio below which a block is redundant, and the sentence
 #: density that confirms it.
 REDUNDANT, DENSE = 0.75, 0.75
+#: Blocks of sentences that the median of all languages counts for.
+OVERALL = 100
 #: Shorter pages cannot repeat anything.
 LEAST_CHARS = 80
 #: Mean words of an item up to which a block is a list of short items.
@@ -165,6 +168,12 @@ def measured(df: DataFrame, id: str, text: str, lang: str) -> DataFrame:
     return source.mapInArrow(run, f"id {kind}, lang string, size int, chars bigint, good bigint, loose bigint, item double, ratio double")
 
 
+def usual_ratio(own: Column, n: Column, overall: Column) -> Column:
+    """Median of n blocks of a language, drawn towards the overall one: no step at any n."""
+    overall = F.coalesce(overall, F.lit(1.0))
+    return F.when(n > 0, (own * n + overall * OVERALL) / (n + OVERALL)).otherwise(overall)
+
+
 def stuffed_pages(df: DataFrame, id: str, text: str, lang: str, share: float = 2 / 3) -> DataFrame:
     """(id, stuffed): the pages of whose characters more than ``share`` are stuffed."""
     scratch = Scratch(df.sparkSession)
@@ -174,7 +183,7 @@ def stuffed_pages(df: DataFrame, id: str, text: str, lang: str, share: float = 2
     usual = prose.groupBy("lang", "size").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"), F.count("*").alias("n"))
     usual_any = prose.groupBy("size").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual_any"))
     known = parts.join(F.broadcast(usual), ["lang", "size"], "left").join(F.broadcast(usual_any), "size", "left")
-    relative = F.col("ratio") / F.when(F.col("n") >= 100, F.col("usual")).otherwise(F.coalesce("usual_any", F.lit(1.0)))
+    relative = F.col("ratio") / usual_ratio(F.col("usual"), F.col("n"), F.col("usual_any"))
     flagged = (relative < REDUNDANT) | (F.col("item") <= ITEM_WORDS)
     stuffed = F.when(flagged & (F.col("good") < F.lit(DENSE) * F.col("chars")), F.col("loose")).otherwise(0)
     whole = known.groupBy("id").agg((F.sum(stuffed) / F.sum("chars")).alias("stuffed"), F.sum("chars").alias("chars"))

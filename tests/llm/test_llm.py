@@ -19,7 +19,7 @@ from lexiloom.llm.groupsplit import GroupSplit, entity_components
 from lexiloom.llm.packing import Packer, fill, hilbert, pack
 from lexiloom.llm.proportions import TargetSample, seats
 from lexiloom.llm.splitoverlap import SplitOverlap
-from lexiloom.llm.stuffing import blocks, stuffed_pages
+from lexiloom.llm.stuffing import blocks, stuffed_pages, usual_ratio
 from lexiloom.llm.tokenize import Merger, decode, encode, encode_batch, load_ranks
 from lexiloom.scratch import Scratch
 
@@ -429,3 +429,9 @@ def test_blocks_cover_the_text():
     t = "One two three four five six seven eight nine. " * 60 + "see https://a.example.com/b #tag"
     parts = blocks(t)
     assert len(parts) > 1 and abs(sum(b[1] for b in parts) - len(t)) < 80
+
+
+def test_usual_ratio_has_no_step(spark):
+    df = spark.createDataFrame([(n, 0.3 if n else None, n or None) for n in range(0, 400)], "i int, own double, n long")
+    got = [r[0] for r in df.orderBy("i").select(usual_ratio(F.col("own"), F.col("n"), F.lit(0.5))).collect()]
+    assert got[0] == 0.5 and all(0 < a - b < 0.003 for a, b in zip(got, got[1:])) and got[-1] < 0.35
