@@ -17,7 +17,9 @@ Compression alone does not show lists of ever different tags, names or numbers;
 the third measure is an addition for these.  A page is found if more than
 ``share`` of its characters is stuffed.
 
-Defined results: null and blank texts are not found.
+Defined results: null and blank texts are not found, nor are pages of fewer than
+LEAST_CHARS counted characters, whatever they hold: a short message ("buy", "Ok,
+thanks") has short items too and cannot be told from a list by these measures.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ SENTENCE_WORDS = (8, 80)
 REDUNDANT, DENSE = 0.75, 0.75
 #: Blocks of sentences that the median of all languages counts for.
 OVERALL = 100
-#: Shorter pages cannot repeat anything.
+#: Shorter pages are not found, even if they hold only tags or links.
 LEAST_CHARS = 80
 #: Mean words of an item up to which a block is a list of short items.
 ITEM_WORDS = 5
