@@ -6,7 +6,9 @@ about BLOCK_CHARS.  Of each block are measured
 * redundancy: its compressed size, links and tags standing for one character each
   and digits for one digit, per byte of the block, divided by the usual ratio: the
   median over all blocks of sentences of this length and language in the corpus,
-  drawn towards the median of all languages as if OVERALL blocks had that;
+  drawn towards the median of all languages, and that towards the ratio of plain
+  prose (PROSE), as if OVERALL blocks had it: few blocks of a language, or a corpus
+  with hardly any sentences, move the ratio little and never in a step;
 * sentence density: the share of its characters in units that end like sentences
   and have a sentence's number of words;
 * the mean number of words between list separators outside sentences.
@@ -15,11 +17,11 @@ The part of a block that is neither sentences nor code is stuffed if the block i
 extremely redundant or a list of short items, and its sentence density is low.
 Compression alone does not show lists of ever different tags, names or numbers;
 the third measure is an addition for these.  A page is found if more than
-``share`` of its characters is stuffed.
+``share`` of its characters is stuffed, and its stuffed blocks hold at least
+LEAST_ITEMS list items or repetitions of words: a word or two ("buy", "Ok, thanks")
+are no list, however short or long they are.
 
-Defined results: null and blank texts are not found, nor are pages of fewer than
-LEAST_CHARS counted characters, whatever they hold: a short message ("buy", "Ok,
-thanks") has short items too and cannot be told from a list by these measures.
+Defined results: null and blank texts are not found.
 """
 
 from __future__ import annotations
@@ -43,8 +45,11 @@ SENTENCE_WORDS = (8, 80)
 REDUNDANT, DENSE = 0.75, 0.75
 #: Blocks of sentences that the median of all languages counts for.
 OVERALL = 100
-#: Shorter pages are not found, even if they hold only tags or links.
-LEAST_CHARS = 80
+#: Items or repeated words that make a list, at least.
+LEAST_ITEMS = 5
+#: Usual compressed share of plain prose by the binary logarithm of the
+#: block's bytes, as measured on public licence texts.
+PROSE = {3: 2.0, 4: 1.5, 5: 1.25, 6: 1.03, 7: 0.81, 8: 0.67, 9: 0.57, 10: 0.51, 11: 0.45, 12: 0.40}
 #: Mean words of an item up to which a block is a list of short items.
 ITEM_WORDS = 5
 
@@ -94,21 +99,24 @@ def _signs(text: str) -> tuple[str, list[int]]:
     return text, links
 
 
-def blocks(text: str) -> list[tuple[int, int, int, int, int, int]]:
+def blocks(text: str) -> list[tuple[int, int, int, int, int, int, int, int]]:
     """(bytes, characters, characters in sentences, characters in other units that
-    are no code, words, list items of these) and compressed bytes of each block."""
+    are no code, words and list items of these, compressed bytes, words of these that
+    occurred before) of each block."""
     text = text.replace(_LINK_SIGN, " ").replace(_TAG_SIGN, " ")
     shaped, sizes = _signs(text)
     at = 0
-    out: list[tuple[int, int, int, int, int, int, int]] = []
+    out: list[tuple[int, int, int, int, int, int, int, int]] = []
     held: list[str] = []
+    distinct: set[str] = set()
     chars = good = loose = words_of = items = extra = 0
 
     def close() -> None:
         nonlocal held, chars, good, loose, words_of, items, extra
         whole = "".join(held)
         raw = _DIGITS.sub("0", whole).encode("utf-8", "surrogatepass")
-        out.append((len(whole.encode("utf-8", "surrogatepass")) + extra, chars, good, loose, words_of, items, len(zlib.compress(raw, 6))))
+        out.append((len(whole.encode("utf-8", "surrogatepass")) + extra, chars, good, loose, words_of, items, len(zlib.compress(raw, 6)), words_of - len(distinct)))
+        distinct.clear()
         held, chars, good, loose, words_of, items, extra = [], 0, 0, 0, 0, 0, 0
 
     last = 0
@@ -126,12 +134,14 @@ def blocks(text: str) -> list[tuple[int, int, int, int, int, int]]:
             size = len(body) - signs + linked
             extra += linked - signs
             chars += size
-            words = len(_WORD.findall(body))
+            found = _WORD.findall(body)
+            words = len(found)
             if _STOP.search(body, len(body) - 3 if len(body) > 3 else 0) and SENTENCE_WORDS[0] <= words <= SENTENCE_WORDS[1] and signs * 4 <= words:
                 good += size - linked
             elif signs or sum(map(_CODE.__contains__, body)) < max(2, 0.15 * words):
                 loose += size
                 words_of += words
+                distinct.update(map(str.casefold, found))
                 items += max(signs, sum(1 for x in _SEPARATOR.split(body) if x.strip()))
             if chars >= BLOCK_CHARS:
                 close()
@@ -147,7 +157,8 @@ def language(column: Column) -> Column:
 
 
 def measured(df: DataFrame, id: str, text: str, lang: str) -> DataFrame:
-    """(id, lang, size, chars, good, loose, item, ratio) of every block of every text."""
+    """(id, lang, size, chars, good, loose, item, entries, ratio) of every block of every
+    text; entries are its list items or repeated words, whichever are more."""
     source = df.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), language(F.col(lang)).alias("lang"), F.col(text).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
@@ -164,10 +175,10 @@ def measured(df: DataFrame, id: str, text: str, lang: str) -> DataFrame:
             at = pa.array(np.array(row, np.int64))
             size = np.log2(np.maximum(f[:, 0], 1)).round(0).astype(np.int32)
             columns = [batch.column("id").take(at), batch.column("lang").take(at), pa.array(size), pa.array(f[:, 1]), pa.array(f[:, 2]), pa.array(f[:, 3])]
-            columns += [pa.array(f[:, 4] / np.maximum(f[:, 5], 1)), pa.array(f[:, 6] / np.maximum(f[:, 0], 1))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "size", "chars", "good", "loose", "item", "ratio"])
+            columns += [pa.array(f[:, 4] / np.maximum(f[:, 5], 1)), pa.array(np.maximum(f[:, 5], f[:, 7])), pa.array(f[:, 6] / np.maximum(f[:, 0], 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "size", "chars", "good", "loose", "item", "entries", "ratio"])
 
-    return source.mapInArrow(run, f"id {kind}, lang string, size int, chars bigint, good bigint, loose bigint, item double, ratio double")
+    return source.mapInArrow(run, f"id {kind}, lang string, size int, chars bigint, good bigint, loose bigint, item double, entries bigint, ratio double")
 
 
 def usual_ratio(own: Column, n: Column, overall: Column) -> Column:
@@ -177,16 +188,19 @@ def usual_ratio(own: Column, n: Column, overall: Column) -> Column:
 
 
 def stuffed_pages(df: DataFrame, id: str, text: str, lang: str, share: float = 2 / 3) -> DataFrame:
-    """(id, stuffed): the pages of whose characters more than ``share`` are stuffed."""
+    """(id, stuffed, redundant): the pages of whose characters more than ``share`` are
+    stuffed; redundant is the share in blocks that are so by compression alone."""
     scratch = Scratch(df.sparkSession)
     parts = scratch.keep(measured(df, id, text, lang))
     # the usual ratio comes from blocks that are sentences; at most 677 languages times 64 sizes
     prose = parts.where(F.col("good") >= F.lit(DENSE) * F.col("chars"))
-    usual = prose.groupBy("lang", "size").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"), F.count("*").alias("n"))
-    usual_any = prose.groupBy("size").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual_any"))
-    known = parts.join(F.broadcast(usual), ["lang", "size"], "left").join(F.broadcast(usual_any), "size", "left")
-    relative = F.col("ratio") / usual_ratio(F.col("usual"), F.col("n"), F.col("usual_any"))
-    flagged = (relative < REDUNDANT) | (F.col("item") <= ITEM_WORDS)
-    stuffed = F.when(flagged & (F.col("good") < F.lit(DENSE) * F.col("chars")), F.col("loose")).otherwise(0)
-    whole = known.groupBy("id").agg((F.sum(stuffed) / F.sum("chars")).alias("stuffed"), F.sum("chars").alias("chars"))
-    return whole.where((F.col("stuffed") > F.lit(share)) & (F.col("chars") >= LEAST_CHARS)).select("id", "stuffed")
+    median = lambda *by: prose.groupBy(*by).agg(F.percentile_approx("ratio", 0.5, 1000).alias("own"), F.count("*").alias("n"))
+    plain = F.element_at(F.create_map(*[F.lit(x) for k in PROSE for x in (k, PROSE[k])]), F.least(F.greatest("size", F.lit(min(PROSE))), F.lit(max(PROSE))))
+    known = parts.join(F.broadcast(median("size").toDF("size", "any", "n_any")), "size", "left").withColumn("overall", usual_ratio(F.col("any"), F.col("n_any"), plain))
+    known = known.join(F.broadcast(median("lang", "size")), ["lang", "size"], "left")
+    redundant = F.col("ratio") / usual_ratio(F.col("own"), F.col("n"), F.col("overall")) < REDUNDANT
+    flagged = redundant | (F.col("item") <= ITEM_WORDS)
+    sparse = F.col("good") < F.lit(DENSE) * F.col("chars")
+    part = lambda condition, of: F.sum(F.when(condition & sparse, F.col(of)).otherwise(0))
+    whole = known.groupBy("id").agg((part(flagged, "loose") / F.sum("chars")).alias("stuffed"), (part(redundant, "loose") / F.sum("chars")).alias("redundant"), part(flagged, "entries").alias("entries"))
+    return whole.where((F.col("stuffed") > F.lit(share)) & (F.col("entries") >= LEAST_ITEMS)).select("id", "stuffed", "redundant")

@@ -425,6 +425,16 @@ def test_stuffed_pages(spark):
     assert stuffed_pages(df.limit(0), "id", "text", "lang").count() == 0
 
 
+def test_stuffed_pages_where_prose_is_rare(spark):
+    # real sentences in one page of twenty, so that the usual ratio hardly comes from the corpus
+    plain = ["The guard reads every message before it reaches the model, and writes a short note about what it saw.", "Nobody on the team had expected the new filter to refuse so many harmless questions from students.", "When the report came back in the evening, we compared both lists and found three differences between them.", "A longer answer is not always a better one, as the second experiment of this winter showed quite clearly."]
+    rng = random.Random(14)
+    data = [(i, "\n".join(rng.sample(plain, 4)) if i % 20 == 0 else _page(rng, ("keywords", "links", "tags", "code", "log")[i % 5]), "en") for i in range(100)]
+    data += [(901, "cheap vpn, cheap vpn, best vpn, free vpn, cheap vpn", "en"), (902, "#a1 #b2 #c3 #d4 #e5 #f6", None), (903, "buy", "en"), (904, "Ok, thanks", "en"), (905, "buy " * 8, "de"), (906, "\u2028\U0001f512", "en")]
+    found = {r.id for r in stuffed_pages(spark.createDataFrame(data, "id int, text string, lang string"), "id", "text", "lang").collect()}
+    assert found == {i for i in range(100) if i % 20 and i % 5 < 3} | {901, 902, 905}
+
+
 def test_blocks_cover_the_text():
     t = "One two three four five six seven eight nine. " * 60 + "see https://a.example.com/b #tag"
     parts = blocks(t)
