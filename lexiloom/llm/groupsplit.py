@@ -1,8 +1,10 @@
 """Splits that keep related records together (problem 6).
 
-1. Records and the entities they name form a bipartite graph.  Labels spread from
-   records to entities and back until they are stable, each side taking the
-   smallest label of the other; a round ends with a jump to the label's own label,
+1. Records and the entities they name form a bipartite graph.  A record of the ledger
+   names its group, the spelling of the group it was delivered with, and the values of
+   further entity columns; lines that name the same entities are one record.  Labels
+   spread from records to entities and back until they are stable, each side taking
+   the smallest label of the other; a round ends with a jump to the label's own label,
    so that long chains take few rounds.
 2. Components are assigned to splits.  The few components that hold more than one
    in SHARE of all rows are placed one by one where the splits' rows and labels then
@@ -28,36 +30,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from ..skew import SHARE
+from ..skew import SHARE, join_unique
 
 MAX_ROUNDS = 200
 BUCKETS = 256
+#: Splits that may be asked for.
+MOST_SPLITS = 1000
 
 #: The partitions of the ledger in their plain spelling.
 PARTITIONS = ("S-train", "S-cal", "S-generic-bank", "S-test", "T-bank", "T-eval", "U-eval", "T-bank-discarded-positive")
 
 
-def entity_components(links: DataFrame, record: str, entity: str, scratch: Scratch) -> DataFrame:
+def entity_components(links: DataFrame, record: str, entity: str, scratch: Scratch, rounds: list[int] | None = None) -> DataFrame:
     """(entity, component): component is the smallest entity linked to it through
-    records.  ``links`` has a row for every entity a record names."""
-    edges = links.select(F.col(record).alias("record"), F.col(entity).alias("entity")).where("record is not null and entity is not null").distinct()
+    records.  ``links`` has a row for every entity a record names.  The number of labels
+    after each round is appended to ``rounds``."""
+    edges = scratch.keep(links.select(F.col(record).alias("record"), F.col(entity).alias("entity")).where("record is not null and entity is not null").distinct())
     # a record with one entity links nothing: only shared records carry labels
     carrying = scratch.keep(edges.join(edges.groupBy("record").count().where("count > 1").select("record"), "record"))
-    labels = scratch.keep(edges.select("entity").distinct().withColumn("component", F.col("entity")))
-    if not carrying.take(1):
-        return labels
+    n = carrying.count()
+    alone = edges.select("entity").distinct()
+    if not n:
+        return scratch.keep(alone.withColumn("component", F.col("entity")))
+    # ``n`` of an entity: its links, by which hot ones are known
+    labels = scratch.keep(carrying.groupBy("entity").agg(F.count("*").alias("n")).withColumn("component", F.col("entity")))
     state = None
     for _ in range(MAX_ROUNDS):
-        on_records = carrying.join(labels, "entity").groupBy("record").agg(F.min("component").alias("component"))
-        on_entities = carrying.join(on_records, "record").groupBy("entity").agg(F.min("component").alias("heard"))
-        spread = labels.join(on_entities, "entity", "left").select("entity", F.least("component", F.coalesce("heard", "component")).alias("component"))
-        parent = spread.select(F.col("entity").alias("component"), F.col("component").alias("jump"))
-        fresh = scratch.keep(spread.join(parent, "component").select("entity", F.col("jump").alias("component")))
-        scratch.drop(labels)
+        on_records = join_unique(carrying, labels, ["entity"], "n", n).groupBy("record").agg(F.min("component").alias("heard"))
+        on_entities = carrying.join(on_records, "record").groupBy("entity").agg(F.min("heard").alias("heard"))
+        spread = scratch.keep(labels.join(on_entities, "entity").select("entity", "n", "heard"))
+        members = spread.groupBy("heard").agg(F.count("*").alias("members"))
+        parent = members.join(spread.select(F.col("entity").alias("heard"), F.col("heard").alias("component")), "heard")
+        fresh = scratch.keep(join_unique(spread, parent, ["heard"], "members", n).select("entity", "n", "component"))
+        scratch.drop(labels, spread)
         labels, before = fresh, state
-        state = tuple(labels.agg(F.bit_xor(F.xxhash64("entity", "component")), F.sum(F.hash("component", "entity").cast("long"))).first())
+        state = tuple(labels.agg(F.countDistinct("component"), F.bit_xor(F.xxhash64("entity", "component")), F.sum(F.hash("component", "entity").cast("long"))).first())
+        if rounds is not None:
+            rounds.append(state[0])
         if state == before:
-            return labels
+            lone = alone.join(labels, "entity", "left_anti").withColumn("component", F.col("entity"))
+            return scratch.keep(labels.select("entity", "component").unionByName(lone))
     raise RuntimeError("labels did not become stable")
 
 
@@ -136,7 +148,8 @@ class GroupSplit:
     """Groups of a ledger, their components and their assignment to splits.
 
     ``entities``: further columns whose values tie the groups of lines together, as an
-    author or a source page; without any, each group is a component of its own.
+    author or a source page; without any, only spellings of a group are tied.
+    ``rounds``: the number of labels after each round of propagation.
     """
 
     def __init__(self, ledger: DataFrame, group: str = "group", partition: str = "partition", rows: str = "rows", labels: str = "labels", sources: str = "sources", time: str = "recorded_at", entities: Sequence[str] = ()) -> None:
@@ -156,13 +169,15 @@ class GroupSplit:
         counted = daily.join(lone, ["group_key", "day"], "left").groupBy(*same).agg(F.greatest(beside, F.lit(1)).alias("lines"))
         # a record of the ledger is what a group has in a partition
         self.records = self.scratch.keep(counted.groupBy("group_key", "part").agg(F.sum(F.col("n") * F.col("lines")).alias("n"), F.sum(F.col("positive") * F.col("lines")).alias("positive")))
-        links = self.records.select(F.col("group_key").alias("record"), F.col("group_key").alias("entity"))
         counts = plain_partition(F.col(f"`{partition}`")).isNotNull() & (F.col(f"`{rows}`") > 0)
-        for e in entities:
-            value = F.concat(F.lit(f"{e}="), F.col(f"`{e}`").cast("string"))
-            links = links.unionByName(ledger.where(counts).select(plain_group(F.col(f"`{group}`")).alias("record"), value.alias("entity")))
-        components = entity_components(links, "record", "entity", self.scratch)
-        self.components = components.where(F.col("entity").rlike("^g:[0-9a-f]{20}$")) if entities else components
+        spelled = F.col(f"`{group}`")
+        named = ledger.where(counts).select(plain_group(spelled).alias("group_key"), spelled.alias("spelling"), *[F.col(f"`{e}`").cast("string").alias(f"e{k}") for k, e in enumerate(entities)]).where("group_key is not null").distinct()
+        values = [F.col("group_key"), F.when(F.col("spelling") != F.col("group_key"), F.concat(F.lit("spelling="), "spelling"))]
+        values += [F.concat(F.lit(f"{e}="), F.col(f"e{k}")) for k, e in enumerate(entities)]
+        links = named.select(F.md5(F.to_json(F.struct(*named.columns))).alias("record"), F.explode(F.array_compact(F.array(*values))).alias("entity"))
+        self.rounds: list[int] = []
+        components = entity_components(links, "record", "entity", self.scratch, self.rounds)
+        self.components = components.where(F.col("entity").rlike("^g:[0-9a-f]{20}$"))
 
     def torn(self) -> DataFrame:
         """(group_key): groups whose component lies in two or more partitions."""
@@ -170,10 +185,26 @@ class GroupSplit:
         spread = placed.groupBy("component").agg(F.countDistinct("part").alias("parts")).where("parts > 1")
         return self.components.join(spread, "component", "left_semi").select(F.col("entity").alias("group_key"))
 
+    def linked(self) -> DataFrame:
+        """(group_key, component): component is the smallest entity linked to the group."""
+        return self.components.withColumnRenamed("entity", "group_key")
+
+    def balance(self, targets: DataFrame) -> DataFrame:
+        """(split, target, groups, rows, row_share, positive_share) of the assignment;
+        the share of positives is that of the split's rows."""
+        placed = self.assign(targets)
+        counts = self.records.groupBy("group_key").agg(F.sum("positive").alias("positive"))
+        per = placed.join(counts, "group_key").groupBy("split").agg(F.count("*").alias("groups"), F.sum("n").alias("rows"), F.sum("positive").alias("positive"))
+        whole = placed.agg(F.sum("n").alias("total"))
+        goals = targets.where("category is not null and share > 0").select(F.col("category").alias("split"), F.col("share").alias("target"))
+        return per.join(F.broadcast(goals), "split").join(F.broadcast(whole)).select("split", "target", "groups", "rows", (F.col("rows") / F.col("total")).alias("row_share"), (F.col("positive") / F.col("rows")).alias("positive_share"))
+
     def assign(self, targets: DataFrame, seed: str = "split") -> DataFrame:
         """(group_key, split, n): every group in one split, shares of rows near the
         targets (category, share) and label profiles alike in all splits."""
-        goals = [(r.category, float(r.share)) for r in targets.where("category is not null and share > 0").orderBy(F.desc("share"), "category").limit(1000).collect()]
+        goals = [(r.category, float(r.share)) for r in targets.where("category is not null and share > 0").orderBy(F.desc("share"), "category").limit(MOST_SPLITS + 1).collect()]
+        if len(goals) > MOST_SPLITS:
+            raise ValueError(f"more than {MOST_SPLITS} splits")
         if not goals:
             raise ValueError("no target shares")
         whole = sum(s for _, s in goals)
