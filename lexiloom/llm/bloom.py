@@ -99,7 +99,7 @@ def build(hashes: DataFrame, column: str, n: int, repeated: bool = True) -> "Fil
 
     merged = hashes.select(F.col(column).cast("long")).mapInArrow(local, _SCHEMA).repartition("block").mapInArrow(merge, "block int, bits binary")
     whole = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
-    for row in merged.toLocalIterator():  # at most MOST_BLOCKS rows of 64 KB
+    for row in merged.collect():  # at most MOST_BLOCKS rows of 64 KB
         whole[row.block] = np.frombuffer(row.bits, np.uint8)
     return Filter(spark.sparkContext.broadcast(whole.tobytes()), blocks)
 

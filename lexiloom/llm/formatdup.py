@@ -30,8 +30,9 @@ from . import bloom
 from .canon import canonical
 from .components import hash_to_min
 
-#: Hashes a filter is built for; beyond it the hash space is done range by range.
-RANGE_HASHES = 50_000_000
+#: Rows a filter is built for; beyond it the hash space is done range by range, each
+#: reading its own slice of the hashes.
+RANGE_HASHES = 25_000_000
 
 
 class LayoutCopies:
@@ -53,15 +54,19 @@ class LayoutCopies:
 
     def _possible_repeats(self) -> DataFrame:
         """Distinct (id, words, fields, w) of rows whose hash may occur twice."""
-        wordy = self.rows.where("n_words > 0").select("id", "words", "fields", "w", "f")
+        kind = self.rows.schema["id"].dataType.simpleString()
+        each = self.rows.where("n_words > 0").select("id", "words", "fields", "w", F.explode(F.array_compact(F.array("w", "f"))).alias("h"))
         n = self.rows.count()
-        ranges = max(1, -(-2 * n // (2 * RANGE_HASHES)))
-        out = None
+        ranges = max(1, -(-n // RANGE_HASHES))
+        if ranges > 1:
+            # sorted files let each range read no more than its own pages
+            each = self.scratch.keep(each.sortWithinPartitions("h"))
+        step, out = -(-(1 << 64) // ranges), None
         for r in range(ranges):
-            inside = lambda c: F.pmod(F.shiftright(c, 7), F.lit(ranges)) == r
-            each = wordy.select(F.explode(F.array_compact(F.array("w", "f"))).alias("h")).where(inside(F.col("h")))
-            seen = bloom.build(each, "h", max(1, n // ranges))
-            part = wordy.where(inside(F.col("w")) | F.coalesce(inside(F.col("f")), F.lit(False))).mapInArrow(_keep_possible(seen), f"id {self.rows.schema[0].dataType.simpleString()}, words binary, fields binary, w bigint")
+            low, high = r * step - (1 << 63), min((r + 1) * step, 1 << 64) - (1 << 63) - 1
+            part = each.where(F.col("h").between(low, high))
+            seen = bloom.build(part.select("h"), "h", max(1, n // ranges))
+            part = part.mapInArrow(_keep_possible(seen), f"id {kind}, words binary, fields binary, w bigint")
             out = part if out is None else out.unionByName(part)
         return out.distinct()
 
@@ -96,11 +101,7 @@ class LayoutCopies:
 def _keep_possible(seen: bloom.Filter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = batch.column("w").to_numpy(zero_copy_only=False)
-            f = batch.column("f").fill_null(0).to_numpy(zero_copy_only=False)
-            hit = seen.holds(w.view(np.uint64))
-            named = np.flatnonzero(batch.column("f").is_valid().to_numpy(zero_copy_only=False) & ~hit)
-            hit[named] = seen.holds(f[named].view(np.uint64))
+            hit = seen.holds(batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64))
             if hit.any():
                 yield batch.select(["id", "words", "fields", "w"]).filter(pa.array(hit))
 
