@@ -38,20 +38,22 @@ class SplitOverlap:
         self.scratch, self.n_rows = near.scratch, near.n_rows
         rows = near.copies.rows.where("n_words > 0").withColumn("split", split_name(F.col(split)))
         self.rows = rows.where("split is not null")
-        # one row per word sequence: partial aggregation takes care of hot texts
-        forms = self.rows.groupBy(F.col("w").alias("key")).agg(F.bool_or(F.col("split") == "train").alias("trained"), F.sum(F.when(F.col("split") != "train", 1).otherwise(0)).alias("n"))
-        forms = self.scratch.keep(forms.join(near.classes(), "key", "left"))
+        # one row per word sequence: partial aggregation takes care of hot texts; exact
+        # overlaps go by 128-bit hashes, ``w`` is the key of near-duplicates
+        forms = self.rows.groupBy("words", "w").agg(F.bool_or(F.col("split") == "train").alias("trained"), F.sum(F.when(F.col("split") != "train", 1).otherwise(0)).alias("n"))
+        kept = near.copies.classes.groupBy("words").agg(F.min("kept_id").alias("kept"))
+        forms = self.scratch.keep(forms.join(kept, "words", "left"))
         taught = forms.where("trained")
         classes = taught.where("kept is not null").select("kept").distinct().withColumn("copied", F.lit(True))
-        both = near.near.select("key_a", "key_b").union(near.near.select("key_b", "key_a")).toDF("key", "other")
+        both = near.near.select("key_a", "key_b").union(near.near.select("key_b", "key_a")).toDF("w", "other")
         # a near-duplicate of a text is one of all its copies too: their words are the same
-        close = both.join(taught.select(F.col("key").alias("other")), "other").select("key").distinct().withColumn("near", F.lit(True))
-        hits = forms.where("n > 0").join(close, "key", "left").join(classes, "kept", "left")
-        self.hits = self.scratch.keep(hits.select(F.col("key").alias("w"), "n", (F.col("trained") | F.coalesce("copied", F.lit(False))).alias("exact"), F.coalesce("near", F.lit(False)).alias("near")).where("exact or near"))
+        close = both.join(taught.select(F.col("w").alias("other")), "other").select("w").distinct().withColumn("near", F.lit(True))
+        hits = forms.where("n > 0").join(close, "w", "left").join(classes, "kept", "left")
+        self.hits = self.scratch.keep(hits.select("words", "n", (F.col("trained") | F.coalesce("copied", F.lit(False))).alias("exact"), F.coalesce("near", F.lit(False)).alias("near")).where("exact or near"))
 
     def found(self) -> DataFrame:
         """Evaluation rows with an overlap: the rows' columns, exact and near."""
-        return join_unique(self.rows.where("split <> 'train'"), self.hits, ["w"], "n", self.n_rows)
+        return join_unique(self.rows.where("split <> 'train'"), self.hits, ["words"], "n", self.n_rows)
 
     def ids(self) -> DataFrame:
         return self.found().select("id").distinct()
