@@ -7,8 +7,8 @@ are kept until the sample is full.  A category that runs out stops giving
 priorities, so its seats go to the others by themselves.
 
 Ranks are dense within a category although a category may hold a third of all
-rows: records fall into BUCKETS slices of the hash range, ranks are counted within
-a slice and the sizes of the slices before it are added.  As the ranks of a
+rows: records fall into slices of the hash range of about SLICE_ROWS records each, ranks
+are counted within a slice and the sizes of the slices before it are added.  As the ranks of a
 category of n records are 1..n, the size of every category alone gives the
 priority at which the sample is full: no rows are sorted globally.
 """
@@ -20,9 +20,11 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rng
 from ..scratch import Scratch
 
-BUCKETS = 1024
+#: Records of a slice, about.
+SLICE_ROWS = 100_000
 #: Categories that a target set may have.
 MOST_CATEGORIES = 100_000
 
@@ -81,9 +83,11 @@ class TargetSample:
         spark = records.sparkSession
         self.targets = spark.createDataFrame([(c, self.shares[c], self.floors[c]) for c in sorted(self.shares)], "category string, share double, min_rows bigint")
         one = records.select(F.col(key).alias("key"), F.col(category).alias("category")).where("key is not null and category is not null").groupBy("key").agg(F.min("category").alias("category"))
-        draw = F.xxhash64(F.lit(seed), F.col("key").cast("string"))
+        draw = rng.draw(seed, "key")
         eligible = one.join(F.broadcast(self.targets.select("category")), "category", "left_semi").withColumn("draw", draw)
-        self.rows = self.scratch.keep(eligible.withColumn("slice", F.pmod(F.shiftright("draw", 54), F.lit(BUCKETS)).cast("int")))
+        self.rows = self.scratch.keep(eligible)
+        slices = max(1, self.rows.count() // SLICE_ROWS)
+        self.rows = self.rows.withColumn("slice", F.floor(rng.number(F.col("draw")) / F.lit(2**32 / slices)).cast("int"))
         self.sliced = self.rows.groupBy("category", "slice").agg(F.count("*").alias("n"))
         self.sizes = {r.category: r.n for r in self.sliced.groupBy("category").agg(F.sum("n").alias("n")).collect()}
         total = sum(self.sizes.values())
