@@ -265,8 +265,8 @@ def encode_batch(texts: list[str | None], merger: Merger) -> tuple[np.ndarray, n
 
 
 def encode(df: DataFrame, text: str, keep: list[str], vocabulary: str = VOCABULARY, offsets: bool = False) -> DataFrame:
-    """The kept columns and ``ids`` of each text; with ``offsets`` also the byte
-    offset of each slice in its text, from which ``decode`` can address parts."""
+    """The kept columns and ``ids`` of each text; with ``offsets`` also ``slice_bytes``, the
+    byte offset of each slice in its text, at which ``decode`` cuts the text again."""
     held = df.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
     source = df.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", ids array<int>" + ", slice_bytes array<int>" * offsets
@@ -283,16 +283,22 @@ def encode(df: DataFrame, text: str, keep: list[str], vocabulary: str = VOCABULA
     return source.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, ids: str, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """The kept columns and ``text``, the UTF-8 text of the ids; null ids give null."""
+def decode(df: DataFrame, ids: str, keep: list[str], vocabulary: str = VOCABULARY, offsets: str | None = None) -> DataFrame:
+    """The kept columns and ``text``, the UTF-8 text of the ids; null ids give null.  With
+    a column of slice offsets also ``slices``, the text cut at these."""
     held = df.sparkSession.sparkContext.broadcast({i: b for b, i in load_ranks(vocabulary).items()})
-    source = df.select(*[F.col(c) for c in keep], F.col(ids).alias("_ids"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", text string"
+    source = df.select(*[F.col(c) for c in keep], F.col(ids).alias("_ids"), *([F.col(offsets).alias("_at")] if offsets else []))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]) + ", text string" + ", slices array<string>" * bool(offsets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = held.value.__getitem__
         for batch in batches:
-            texts = [None if x is None else b"".join(map(token, x)).decode("utf-8", "replace") for x in batch.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(texts, pa.string())], [*keep, "text"])
+            raw = [None if x is None else b"".join(map(token, x)) for x in batch.column("_ids").to_pylist()]
+            columns = [batch.column(i) for i in range(len(keep))] + [pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw], pa.string())]
+            if offsets:
+                cuts = batch.column("_at").to_pylist()
+                parts = [None if x is None or at is None else [x[i:j].decode("utf-8", "replace") for i, j in zip(at, [*at[1:], len(x)])] for x, at in zip(raw, cuts)]
+                columns.append(pa.array(parts, pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "text"] + ["slices"] * bool(offsets))
 
     return source.mapInArrow(run, schema)
