@@ -32,9 +32,9 @@ from ..scratch import Scratch
 from .tokenize import VOCABULARY, Merger, load_ranks, slices
 
 DIMS, BITS = 3, 10
-WINDOW = 4096
+WINDOW = 1024
 #: Containers kept open at most; the fullest are closed first.
-OPEN = 8192
+OPEN = 1024
 #: Documents of a range of the curve.
 RANGE_DOCS = 20_000
 #: Kinds of containers that may be asked for at once.
@@ -145,9 +145,23 @@ class Packer:
         return out
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in tables of WINDOW rows, wherever Arrow batches end."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(b.num_rows for b in held) >= WINDOW:
+            whole = pa.Table.from_batches(held)
+            yield whole.slice(0, WINDOW)
+            held = whole.slice(WINDOW).to_batches()
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 def pack(df: DataFrame, id: str, text: str, kinds: DataFrame, kind: str = "container_kind", capacity: str = "capacity_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for every piece of every text and kind of container:
-    (container_kind, container, id, piece, first_token, tokens)."""
+    (container_kind, container, id, piece, first_token, tokens, place); place numbers the
+    documents along the curve."""
     scratch = Scratch(df.sparkSession)
     wanted = sorted((r[0], int(r[1])) for r in kinds.where(F.col(kind).isNotNull() & (F.col(capacity) > 0)).select(kind, capacity).distinct().limit(MOST_KINDS + 1).collect())
     if len(wanted) > MOST_KINDS:
@@ -156,31 +170,30 @@ def pack(df: DataFrame, id: str, text: str, kinds: DataFrame, kind: str = "conta
     ranges = max(1, -(-items.count() // RANGE_DOCS))
     along = items.repartitionByRange(ranges, "curve", "id").sortWithinPartitions("curve", "id").select("id", "tokens", F.spark_partition_id().alias("part"))
     id_type = items.schema["id"].dataType.simpleString()
-    names = ["container_kind", "container", "id", "piece", "first_token", "tokens"]
+    names = ["container_kind", "container", "id", "piece", "first_token", "tokens", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packers = [Packer(c) for _, c in wanted]
-        for batch in batches:
-            for begin in range(0, batch.num_rows, WINDOW):
-                part = batch.slice(begin, WINDOW)
-                size = part.column("tokens").to_pylist()
-                base = part.column("part")[0].as_py() << 40
-                for (name, _), packer in zip(wanted, packers):
-                    placed = packer.window([(s, i) for i, s in enumerate(size) if s])
-                    placed += [(i, 0, 0, 0, -1) for i, s in enumerate(size) if not s]
-                    if not placed:
-                        continue
-                    p = np.array(placed, np.int64)
-                    container = pa.array(np.where(p[:, 4] < 0, 0, base + p[:, 4]), mask=p[:, 4] < 0)
-                    columns = [pa.array([name] * len(p)), container, part.column("id").take(pa.array(p[:, 0])), pa.array(p[:, 1].astype(np.int32)), pa.array(p[:, 2]), pa.array(p[:, 3])]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-    return along.mapInArrow(run, f"container_kind string, container bigint, id {id_type}, piece int, first_token bigint, tokens bigint")
+        packers, begin = [Packer(c) for _, c in wanted], 0
+        for part in _windows(batches):
+            size = part.column("tokens").to_pylist()
+            base = part.column("part")[0].as_py() << 40
+            for (name, _), packer in zip(wanted, packers):
+                placed = packer.window([(s, i) for i, s in enumerate(size) if s])
+                placed += [(i, 0, 0, 0, -1) for i, s in enumerate(size) if not s]
+                p = np.array(placed, np.int64)
+                container = pa.array(np.where(p[:, 4] < 0, 0, base + p[:, 4]), mask=p[:, 4] < 0)
+                columns = [pa.array([name] * len(p)), container, part.column("id").take(pa.array(p[:, 0])).combine_chunks(), pa.array(p[:, 1].astype(np.int32)), pa.array(p[:, 2]), pa.array(p[:, 3]), pa.array(base + begin + p[:, 0])]
+                yield pa.RecordBatch.from_arrays(columns, names)
+            begin += part.num_rows
+
+    return along.mapInArrow(run, f"container_kind string, container bigint, id {id_type}, piece int, first_token bigint, tokens bigint, place bigint")
 
 
 def fill(packed: DataFrame, kinds: DataFrame, kind: str = "container_kind", capacity: str = "capacity_tokens") -> DataFrame:
-    """(container_kind, containers, tokens, fill): the share of the containers' room
-    that is used."""
-    used = packed.where("container is not null").groupBy("container_kind").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
+    """(container_kind, containers, tokens, fill, span): the share of the containers' room
+    that is used, and the mean over containers of the distance, in documents along the
+    curve, between their first and last document."""
+    each = packed.where("container is not null").groupBy("container_kind", "container").agg(F.sum("tokens").alias("tokens"), (F.max("place") - F.min("place")).alias("span"))
+    used = each.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.round(F.avg("span"), 1).alias("span"))
     room = kinds.groupBy(F.col(kind).alias("container_kind")).agg(F.max(capacity).alias("room"))
-    return used.join(F.broadcast(room), "container_kind").select("container_kind", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("room")), 6).alias("fill"))
+    return used.join(F.broadcast(room), "container_kind").select("container_kind", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("room")), 6).alias("fill"), "span")
