@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from .running import ranked
 
 
 def indexed(df: DataFrame, key: str, name: str) -> DataFrame:
     """(key, name): distinct keys numbered from 0 in key order."""
-    return df.select(key).distinct().withColumn(name, F.row_number().over(Window.orderBy(key)).cast("bigint") - 1)
+    return ranked(df.select(key).distinct(), [F.col(key)], name=name).withColumn(name, F.col(name) - 1)
 
 
 def cluster_weights(groups: DataFrame, group: str, reps: int, name: str) -> DataFrame:

@@ -1,17 +1,18 @@
 """Threshold and ranking metrics over score tables.
 
 Rows are pre-aggregated per distinct score (and per ``by`` columns: model, cell,
-replicate) before any window, so that a window holds distinct scores, not rows, and
-tie blocks need no special care.  Undefined values are null.
+replicate) before any running sum, so that tie blocks need no special care.  Undefined values are null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running
+
 #: Slack by which an allowed count or rate may be missed through rounding.
 SLACK = 1e-12
 Z95 = 1.959963984540054
@@ -31,9 +32,7 @@ def per_score(df: DataFrame, score: str, label: str, by: Sequence[str] = (), wei
 
 def ranked(blocks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Cumulative positives and negatives at each score, from the highest, and totals."""
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return blocks.withColumns({"cum_pos": F.sum("pos").over(down), "cum_neg": F.sum("neg").over(down), "all_pos": F.sum("pos").over(whole), "all_neg": F.sum("neg").over(whole)})
+    return running(blocks, [F.desc("score")], {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, by, {"all_pos": "cum_pos", "all_neg": "cum_neg"})
 
 
 def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:

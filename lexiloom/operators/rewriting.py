@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..functions.framing import CELLS, SHORT
 from ..functions.text import fp_lower
 
 #: Trigger phrases in the order they are replaced: the alternatives of
-#: the first word, the rest of the pattern, and the replacement.
+#: the first word, the rest of the pattern, and the replacement.  The first word stands
+#: apart because a match that begins in upper case is replaced in upper case.
 SUBSTITUTIONS = (
     (("ignore", "disregard", "forget"), r"\s+(all\s+)?(of\s+)?(the\s+|your\s+|any\s+|my\s+)?(previous|prior|above|earlier|preceding|initial|original)\s+(instructions?|directions?|rules|prompts?|guidelines|commands?)", "set aside the earlier guidance"),
     (("system",), r"\s+prompts?\b", "setup text"),
@@ -36,23 +38,6 @@ SUBSTITUTIONS = (
     (("prompt",), r"s?\b", "message"),
 )
 
-#: Prefixes of the four framings and a fifth that looks like an instruction; topics
-#: and openers make 24 prefixes each.
-_TOPICS = {
-    "academic": ("urban planning", "medieval trade", "river ecology", "bridge design", "crop rotation", "music theory"),
-    "neutral": ("a rainy weekend", "the corner bakery", "a long train ride", "our garden fence", "a family recipe", "the village fair"),
-    "security": ("prompt injection", "jailbreak defences", "content policies", "red teaming", "safety filters", "guardrail design"),
-    "authority": ("the workspace", "the billing team", "this department", "the project board", "the account", "the whole site"),
-    "instruction": ("the task below", "the next line", "this request", "the text here", "what follows", "the final part"),
-}
-_OPENERS = {
-    "academic": ("For my coursework on {}: ", "In a seminar on {} we asked: ", "My thesis on {} mentions: ", "A lecture about {} raised: "),
-    "neutral": ("Thinking of {}, I wondered: ", "This is about {} again: ", "A friend told me of {}: ", "While talking of {} we asked: "),
-    "security": ("For my class on {}: ", "In a workshop on {} we asked: ", "My notes on {} mention: ", "A talk about {} raised: "),
-    "authority": ("As the owner of {}, I ask: ", "Speaking for {} as its head: ", "As the lead of {}, I request: ", "On behalf of {} I ask: "),
-    "instruction": ("Now do {} first: ", "Set all aside for {}: ", "Answer only {} now: ", "Follow {} exactly: "),
-}
-CELLS = {cell: tuple(o.format(t) for o in _OPENERS[cell] for t in _TOPICS[cell]) for cell in _TOPICS}
 ATTACK_CELLS = ("academic", "neutral", "security")
 
 
@@ -63,34 +48,42 @@ def _passes(words: tuple[str, ...], rest: str, replacement: str) -> tuple[tuple[
     return (rf"\b(?:{upper})(?i:{rest})", replacement[0].upper() + replacement[1:]), (rf"(?i)\b(?:{lower}){rest}", replacement)
 
 
+def has_trigger(text: Column, table=SUBSTITUTIONS) -> Column:
+    """Some pattern matches; one scan that stops at the first hit."""
+    return text.rlike("(?i)" + "|".join(rf"\b(?:{'|'.join(words)}){rest}" for words, rest, _ in table))
+
+
 def substitute(text: Column, table=SUBSTITUTIONS) -> Column:
     """All trigger phrases replaced, table order; a replacement begins in upper case
     where its match does.  No replacement matches its own pattern, so two passes a
     pattern do."""
+    out = text
     for row in table:
         for pattern, replacement in _passes(*row):
-            text = F.regexp_replace(text, pattern, replacement)
-    return text
+            out = F.regexp_replace(out, pattern, replacement)
+    return F.when(has_trigger(text, table), out).otherwise(text)
 
 
 def substituted(df: DataFrame, text: str, out: str = "sub_text", count: str = "n_subs", table=SUBSTITUTIONS) -> DataFrame:
     """Adds the substituted text and the number of replacements (null for null).
 
     Text and count are carried from pattern to pattern as columns of single
-    projections, so each pattern runs once for the text and once for the count.
+    projections, so each pattern runs once for the text and once for the count.  A text
+    that no pattern matches goes through the chain as null and costs one scan.
     """
-    df = df.withColumns({out: F.col(text), count: F.when(F.col(text).isNotNull(), F.lit(0))})
+    hit = f"{out}_hit"
+    df = df.withColumn(hit, has_trigger(F.col(text), table)).withColumns({out: F.when(F.col(hit), F.col(text)), count: F.when(F.col(text).isNotNull(), F.lit(0))})
     for row in table:
         (_, _), (pattern, _) = _passes(*row)
         step = F.col(out)
         for p, r in _passes(*row):
             step = F.regexp_replace(step, p, r)
-        df = df.withColumns({count: F.col(count) + F.regexp_count(F.col(out), F.lit(pattern)), out: step})
-    return df
+        df = df.withColumns({count: F.col(count) + F.coalesce(F.regexp_count(F.col(out), F.lit(pattern)), F.lit(0)), out: step})
+    return df.withColumn(out, F.coalesce(out, text)).drop(hit)
 
 
 def prefixes(spark, cells: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """(cell, k, prefix): 24 for each cell."""
+    """(cell, k, prefix) of each cell."""
     rows = [(c, k, p) for c, ps in (cells or CELLS).items() for k, p in enumerate(ps)]
     return spark.createDataFrame(rows, "cell string, k bigint, prefix string")
 
@@ -105,6 +98,24 @@ def framed(df: DataFrame, key: str, text: str, seed: str, cells: dict[str, tuple
     return each.withColumn("k", k).select("key", F.col("c.cell").alias("cell"), "k", F.concat(F.element_at("c.list", (F.col("k") + 1).cast("int")), F.col("text")).alias("framed"))
 
 
+def framed_short(df: DataFrame, key: str, text: str, seed: str) -> DataFrame:
+    """(key, k, framed): each text behind one of the five short prefixes, drawn by key."""
+    return framed(df, key, text, seed, {"short": SHORT}).select("key", "k", "framed")
+
+
+def length_matched(df: DataFrame, text: str, reference: str, slack: float = 0.2) -> DataFrame:
+    """Rows whose text's length differs from the reference text's by at most ``slack``
+    of the latter; rows with a null text are left out."""
+    return df.where(F.abs(F.length(text) - F.length(reference)) <= F.lit(slack) * F.length(reference))
+
+
+def benign_index(labels: Column, names: tuple[str, ...]) -> Column:
+    """Key of the only entry of map<int, string> whose label, without blanks around it and
+    in lower case, is one of the names; null if none or several are."""
+    hits = F.map_keys(F.map_filter(labels, lambda _, v: F.lower(F.trim(v)).isin(*names)))
+    return F.when(F.size(hits) == 1, F.element_at(hits, 1))
+
+
 def attack_variants(df: DataFrame, key: str, text: str, sub_text: str) -> DataFrame:
     """(key, kind, k, variant): plain, substituted, every prefix of the attack cells,
     and the academic prefixes on the substituted text: 98 texts a row, made by one

@@ -1,7 +1,7 @@
 """Splits, draws and allocations ranked by key hashes (functions/rng.py).
 
-Ranks are windows per stratum over narrow rows (keys and hashes); callers join the
-chosen keys back.
+Ranks and running sums come from running.py, over narrow rows (keys and hashes):
+a stratum may hold all rows.  Callers join the chosen keys back.
 """
 
 from __future__ import annotations
@@ -12,18 +12,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..scratch import Scratch
+from ..skew import SHARE
+from .running import ranked, running
 
 
-def hash_rank(df: DataFrame, key: str, seed: str, by: Sequence[str] = ()) -> DataFrame:
+def hash_rank(df: DataFrame, key: str, seed: str | Column, by: Sequence[str] = (), total: str | None = None) -> DataFrame:
     """Adds ``draw`` and its rank ``r`` from 1 within ``by``, ties by key."""
-    d = df.withColumn("draw", rng.draw(seed, key))
-    return d.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("draw", key)))
+    return ranked(df.withColumn("draw", rng.draw(seed, key)), [F.col("draw"), F.col(key)], by, total=total)
 
 
 def stratified_split(df: DataFrame, key: str, label: str, seed: str, test: float = 116 / 662, validation: float = 110 / 546) -> DataFrame:
     """train, validation and test per label: test takes its share of the rows, then
     validation its share of the rest; shares are rounded half to even."""
-    r = hash_rank(df.select(key, label), key, seed, [label]).withColumn("n", F.count("*").over(Window.partitionBy(label)))
+    r = hash_rank(df.select(key, label), key, seed, [label], "n")
     n_test = F.bround(F.col("n") * test)
     n_val = F.bround((F.col("n") - n_test) * validation)
     split = F.when(F.col("r") <= n_test, "test").when(F.col("r") <= n_test + n_val, "validation").otherwise("train")
@@ -31,7 +33,7 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: str, test: float
 
 
 def row_split(df: DataFrame, key: str, label: str, seed: str, fraction: float = 0.3) -> DataFrame:
-    r = hash_rank(df.select(key, label), key, seed, [label]).withColumn("n", F.count("*").over(Window.partitionBy(label)))
+    r = hash_rank(df.select(key, label), key, seed, [label], "n")
     return r.select(key, label, (F.col("r") <= F.bround(F.col("n") * fraction)).alias("in_test"))
 
 
@@ -42,31 +44,30 @@ def group_sizes(df: DataFrame, group: str, label: str) -> DataFrame:
 def random_group_split(groups: DataFrame, group: str, seed: str, fraction: float = 0.3) -> DataFrame:
     """Groups (group, size, has_positive) in random order go to test while its rows are
     below the fraction of the stratum: the running size before a group decides."""
-    w = Window.partitionBy("has_positive").orderBy("draw", group)
-    g = groups.withColumn("draw", rng.draw(seed, group))
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("size").over(Window.partitionBy("has_positive"))
-    return g.select(group, "has_positive", "size", (before < F.lit(fraction) * total).alias("in_test"))
+    g = running(groups.withColumn("draw", rng.draw(seed, group)), [F.col("draw"), F.col(group)], {"upto": F.col("size")}, ["has_positive"], {"total": "upto"})
+    return g.select(group, "has_positive", "size", (F.col("upto") - F.col("size") < F.lit(fraction) * F.col("total")).alias("in_test"))
 
 
 def bank_fill(groups: DataFrame, group: str, seed: str, benign: int) -> DataFrame:
     """Groups with benign rows, in random order, fill a bank while it holds fewer than
-    ``benign`` benign rows; others never qualify.  One window over groups' sizes."""
-    g = groups.where("benign > 0").withColumn("draw", rng.draw(seed, group))
-    before = F.coalesce(F.sum("benign").over(Window.orderBy("draw", group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return g.select(group, "benign", (before < benign).alias("in_bank"))
+    ``benign`` benign rows; others never qualify."""
+    g = running(groups.where("benign > 0").withColumn("draw", rng.draw(seed, group)), [F.col("draw"), F.col(group)], {"upto": F.col("benign")})
+    return g.select(group, "benign", (F.col("upto") - F.col("benign") < benign).alias("in_bank"))
 
 
 def nested_subsets(df: DataFrame, key: str, seeds: Sequence[int], budgets: Sequence[int]) -> DataFrame:
     """(seed, budget, key): for each seed a random order whose prefixes are the budgets."""
     each = df.select(F.col(key).alias("key"), F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
-    ranked = each.withColumn("draw", rng.draw(F.col("seed"), F.col("key"))).withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("draw", "key"))).where(F.col("r") <= max(budgets))
-    return ranked.select("seed", F.explode(F.filter(F.array(*[F.lit(b) for b in budgets]), lambda b: b >= F.col("r"))).alias("budget"), "key")
+    first = hash_rank(each, "key", F.col("seed"), ["seed"]).where(F.col("r") <= max(budgets))
+    return first.select("seed", F.explode(F.filter(F.array(*[F.lit(b) for b in budgets]), lambda b: b >= F.col("r"))).alias("budget"), "key")
 
 
 def uniform_draw(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
     """n rows without replacement, whatever the input order (ordering and limit run as
-    a top-n, not as a sort of all rows)."""
+    a top-n, not as a sort of all rows).  Fewer rows than n are an error."""
+    have = df.limit(n).count()
+    if have < n:
+        raise ValueError(f"{n} rows are asked for, there are {have}")
     return df.withColumn("draw", rng.draw(seed, key)).orderBy("draw", key).limit(n).drop("draw")
 
 
@@ -120,18 +121,24 @@ def feasible_counts(weights: dict[str, float], available: dict[str, int], total:
 
 def cell_pool(df: DataFrame, key: str, cell: str, order: str, weights: dict[str, float], n_train: int, n_val: int, seed: str) -> DataFrame:
     """(key, cell, split): n_train + n_val rows with cells in proportion to the weights,
-    each cell divided in the same proportion; drawn in an order by ``order`` hashes."""
+    each cell divided in the same proportion; drawn in an order by ``order`` hashes.  A
+    cell with too few rows is an error."""
     total = remainder_counts(weights, n_train + n_val)
     train = remainder_counts({k: float(v) for k, v in total.items()}, n_train)
     plan = F.create_map(*[F.lit(x) for k in total for x in (k, total[k])])
     taught = F.create_map(*[F.lit(x) for k in total for x in (k, train[k])])
-    r = hash_rank(df.where(F.col(cell).isin(*total)).select(F.col(key).alias("key"), F.col(cell).alias("cell"), F.col(order).alias("o")), "o", seed, ["cell"])
+    rows = df.where(F.col(cell).isin(*total)).select(F.col(key).alias("key"), F.col(cell).alias("cell"), F.col(order).alias("o"))
+    have = {x["cell"]: x["count"] for x in rows.groupBy("cell").count().collect()}  # one row a cell of the plan
+    short = {c: n - have.get(c, 0) for c, n in total.items() if have.get(c, 0) < n}
+    if short:
+        raise ValueError(f"cells are short of rows: {short}")
+    r = hash_rank(rows, "o", seed, ["cell"])
     return r.where(F.col("r") <= plan[F.col("cell")]).select("key", "cell", F.when(F.col("r") <= taught[F.col("cell")], "train").otherwise("validation").alias("split"))
 
 
 def cap_per_cell(df: DataFrame, cell: str, order: str, cap: int) -> DataFrame:
     """The first ``cap`` rows of each cell (the cap is the feature)."""
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy(cell).orderBy(order))).where(F.col("pos") <= cap)
+    return ranked(df, [F.col(order)], [cell], "pos").withColumn("pos", F.col("pos").cast("int")).where(F.col("pos") <= cap)
 
 
 def leave_one_out(df: DataFrame, group: str, label: str, held: Column, in_test: str) -> DataFrame:
@@ -150,21 +157,32 @@ def allocate_groups(groups: DataFrame, group: str, fractions: dict[str, float],
     """(group, partition): whole groups, stratified by has_positive, the largest first,
     each to the partition with the largest deficit (the first name wins a tie).
 
-    Every placement depends on all before it, so a stratum is one ordered fold over
-    (group, size) pairs; it runs in SQL as an aggregate over the sorted array.
+    Groups above 1/SHARE of their stratum, at most SHARE a stratum, are placed one by one
+    on the driver.  What they leave open is filled by the others, largest first: in runs
+    of equal size every partition gets its share of what is open, so that all deficits
+    fall together, as they do when the groups are placed one by one.
     """
-    names = list(fractions)
-    item = F.struct((-F.col("size")).alias("s"), rng.draw(seed, group).alias("d"), F.col(group).alias("g"))
-    strata = groups.groupBy("has_positive").agg(F.array_sort(F.collect_list(item)).alias("items"), F.sum("size").alias("total"))
-    share = F.array(*[F.lit(float(fractions[n])) for n in names])
-    start = F.struct(F.array(*[F.lit(0.0) for _ in names]).alias("filled"), F.array().cast("array<int>").alias("at"))
-
-    def place(state: Column, x: Column) -> Column:
-        gap = F.zip_with(share, state["filled"], lambda f, have: f * F.col("total") - have)
-        best = F.array_position(gap, F.array_max(gap)).cast("int")
-        filled = F.transform(state["filled"], lambda have, i: F.when(i + 1 == best, have - x["s"]).otherwise(have))
-        return F.struct(filled.alias("filled"), F.concat(state["at"], F.array(best)).alias("at"))
-
-    placed = strata.withColumn("at", F.aggregate("items", start, place)["at"])
-    each = placed.select("has_positive", F.explode(F.arrays_zip("items", "at")).alias("z"))
-    return each.select(F.col("z.items.g").alias(group), F.element_at(F.array(*[F.lit(n) for n in names]), F.col("z.at")).alias("partition"))
+    scratch, names = Scratch(groups.sparkSession), list(fractions)
+    g = scratch.keep(groups.select(group, "size", "has_positive", rng.draw(seed, group).alias("draw")))
+    whole = g.groupBy("has_positive").agg(F.sum("size").alias("total")).collect()  # two strata
+    placed, rows = [], []
+    for stratum in whole:
+        total = stratum.total
+        filled = dict.fromkeys(names, 0)
+        mine = g.where(F.col("has_positive").eqNullSafe(F.lit(stratum.has_positive)))
+        for r in mine.where(F.col("size") * SHARE > F.lit(total)).orderBy(F.desc("size"), "draw", group).collect():
+            best = max(names, key=lambda n: fractions[n] * total - filled[n])  # the first of equals
+            filled[best] += r["size"]
+            placed.append((r[group], best))
+        left = [max(0.0, fractions[n] * total - filled[n]) for n in names]
+        base = sum(left) or 1.0
+        rows.append((stratum.has_positive, [sum(left[: k + 1]) / base for k in range(len(left) - 1)], total))
+    spark, kind = groups.sparkSession, g.schema[group].dataType.simpleString()
+    one = spark.createDataFrame(placed, f"`{group}` {kind}, partition string")
+    ends = spark.createDataFrame(rows, f"has_positive {g.schema['has_positive'].dataType.simpleString()}, ends array<double>, total bigint")
+    rest = g.join(F.broadcast(ends), "has_positive").where(F.col("size") * SHARE <= F.col("total"))
+    run = running(rest, [F.desc("size"), F.col("draw"), F.col(group)], {"upto": F.col("size")}, ["has_positive", "size"], {"all": "upto"})
+    place = (F.col("upto") - F.col("size") / 2) / F.col("all")
+    passed = F.size(F.filter("ends", lambda e: e <= F.col("place")))
+    other = run.withColumn("place", place).select(group, F.element_at(F.array(*[F.lit(n) for n in names]), passed + 1).alias("partition"))
+    return one.unionByName(other)

@@ -103,19 +103,26 @@ query("paraphrase_valid", paraphrase,
       f"SELECT doc_id, length({_PC}) BETWEEN 20 AND 1000 AND NOT regexp_matches({_PC}, '(?i){T.REFUSAL.replace(chr(39), chr(39) * 2)}') AND {_KEPT} AS valid FROM (SELECT doc_id, text, regexp_replace(text, '(?i)prompt', 'message', 'g') AS p FROM {TEMPLATED})")
 
 
-def _sub_sql() -> str:
+def _sub_sql(where: str = "", columns: str = "sha256(t{0}) AS sub_text, n{0} AS n_subs") -> str:
     """A chain of two replacements a pattern, the count taken before each."""
-    sql, at = f"SELECT doc_id, text AS t0, 0::BIGINT AS n0 FROM {TEMPLATED}", 0
+    sql, at = f"SELECT doc_id, text AS t0, 0::BIGINT AS n0, text AS t FROM {TEMPLATED}{where}", 0
     for row in R.SUBSTITUTIONS:
         (up, ur), (low, lr) = R._passes(*row)
-        sql = f"SELECT doc_id, regexp_replace(regexp_replace(t{at}, '{up}', '{ur}', 'g'), '{low}', '{lr}', 'g') AS t{at + 1}, n{at} + len(regexp_extract_all(t{at}, '{low}')) AS n{at + 1} FROM ({sql})"
+        sql = f"SELECT doc_id, t, regexp_replace(regexp_replace(t{at}, '{up}', '{ur}', 'g'), '{low}', '{lr}', 'g') AS t{at + 1}, n{at} + len(regexp_extract_all(t{at}, '{low}')) AS n{at + 1} FROM ({sql})"
         at += 1
-    return f"SELECT doc_id, sha256(t{at}) AS sub_text, n{at} AS n_subs FROM ({sql})"
+    return f"SELECT doc_id, {columns.format(at)} FROM ({sql})"
 
 
 query("trigger_substitution", lambda s, d: R.substituted(templated(s, d).select("doc_id", "text"), "text").select("doc_id", F.sha2("sub_text", 256).alias("sub_text"), F.col("n_subs").cast("bigint").alias("n_subs")), _sub_sql())
 
-_CELLS_SQL = "(VALUES " + ", ".join(f"('{c}', {k}, '{p}')" for c, ps in R.CELLS.items() for k, p in enumerate(ps)) + ") AS cells(cell, k, prefix)"
+
+
+def _values(rows) -> str:
+    literal = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + ")"
+
+
+_CELLS_SQL = _values((c, k, p) for c, ps in R.CELLS.items() for k, p in enumerate(ps)) + " AS cells(cell, k, prefix)"
 query("framing_one_per_row", lambda s, d: R.framed(docs(s, d).where("text is not null").select("doc_id", "text"), "doc_id", "text", "frame").select(F.col("key").alias("doc_id"), "cell", "k", F.sha2("framed", 256).alias("framed")),
       f"SELECT doc_id, cell, k::BIGINT AS k, sha256(prefix || text) AS framed FROM documents JOIN {_CELLS_SQL} ON k = {H(chr(39) + 'frame' + chr(39), 'cell', 'doc_id')} % 24 WHERE text IS NOT NULL")
 
@@ -126,7 +133,21 @@ def variants(s, d):
     return v.groupBy(F.col("key").alias("doc_id"), "kind").agg(F.count("*").alias("n"), F.sum(F.length("variant")).alias("chars"))
 
 
-query("attack_variants", variants)
+_FRAMES = "(SELECT cell, count(*) AS n, sum(length(prefix)) AS chars FROM " + _CELLS_SQL + " WHERE cell IN ('academic', 'neutral', 'security') GROUP BY cell)"
+query("attack_variants", variants,
+      f"WITH s AS ({_sub_sql(' WHERE lang = ' + chr(39) + 'en' + chr(39), 'length(t{0}) AS sub, length(t) AS plain')}), f AS {_FRAMES} SELECT doc_id, 'plain' AS kind, 1::BIGINT AS n, plain::BIGINT AS chars FROM s UNION ALL SELECT doc_id, 'sub', 1, sub FROM s UNION ALL SELECT doc_id, cell, n, (chars + n * plain)::BIGINT FROM s, f UNION ALL SELECT doc_id, 'sub_academic', n, (chars + n * sub)::BIGINT FROM s, f WHERE cell = 'academic'")
+_SHORT_SQL = _values((k, p) for k, p in enumerate(R.SHORT)) + " AS short(k, prefix)"
+query("framing_short", lambda s, d: R.framed_short(docs(s, d).where("text is not null").select("doc_id", "text"), "doc_id", "text", "frame").select(F.col("key").alias("doc_id"), "k", F.sha2("framed", 256).alias("framed")),
+      f"SELECT doc_id, k::BIGINT AS k, sha256(prefix || text) AS framed FROM documents JOIN {_SHORT_SQL} ON k = {H(chr(39) + 'frame' + chr(39), chr(39) + 'short' + chr(39), 'doc_id')} % {len(R.SHORT)} WHERE text IS NOT NULL")
+
+
+def matched(s, d):
+    return R.length_matched(templated(s, d).withColumn("reference", F.expr("substring(text, 20)")), "reference", "text").select("doc_id")
+
+
+query("length_matched", matched, f"SELECT doc_id FROM {TEMPLATED} WHERE abs(length(substr(text, 20)) - length(text)) <= 0.2 * length(text)")
+query("benign_label_index", lambda s, d: lab(s, d).select("id", R.benign_index(F.create_map(F.lit(0), F.coalesce("source", F.lit("")), F.lit(1), F.coalesce("split", F.lit(""))), ("train", "val", "test")).alias("benign")).distinct(),
+      "SELECT DISTINCT id, CASE WHEN a AND NOT b THEN 0 WHEN b AND NOT a THEN 1 END AS benign FROM (SELECT id, lower(trim(coalesce(source, ''))) IN ('train', 'val', 'test') AS a, lower(trim(coalesce(split, ''))) IN ('train', 'val', 'test') AS b FROM injection_lab)")
 query("variant_counts", lambda s, d: R.attack_variants(docs(s, d).where("text is not null").select("doc_id", "text"), "doc_id", "text", "text").groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("variant")).alias("chars")),
       f"WITH t AS (SELECT text FROM documents WHERE text IS NOT NULL) SELECT 'plain' AS kind, count(*) AS n, sum(length(text))::BIGINT AS chars FROM t UNION ALL SELECT 'sub', count(*), sum(length(text))::BIGINT FROM t UNION ALL SELECT CASE c.x WHEN 1 THEN cell ELSE 'sub_academic' END, count(*), sum(length(prefix || text))::BIGINT FROM t, {_CELLS_SQL}, (VALUES (1), (2)) c(x) WHERE (c.x = 1 AND cell IN ('academic', 'neutral', 'security')) OR (c.x = 2 AND cell = 'academic') GROUP BY 1")
 
