@@ -13,9 +13,13 @@ def dedup_conflict(df: DataFrame, fp: str, id: str, label: str) -> DataFrame:
     return g.select(fp, F.when(F.col("labels") <= 1, F.col("least")).alias("kept_id"), "n", (F.col("labels") > 1).alias("conflict"))
 
 
-def dedup_prefer(df: DataFrame, fp: str, prefer: Column, order: str) -> DataFrame:
+def dedup_prefer(df: DataFrame, fp: str, prefer: Column, order: str, label: str | None = None) -> DataFrame:
     """One row per fingerprint: preferred rows first, then input order.  An aggregate
-    of the smallest struct, so a hot fingerprint is combined before the shuffle."""
+    of the smallest struct, so a hot fingerprint is combined before the shuffle.  With
+    a label column, copies with different labels are an error."""
+    if label:
+        for row in df.groupBy(fp).agg(F.countDistinct(label).alias("n")).where("n > 1").limit(1).collect():
+            raise ValueError(f"copies with different labels: {row[fp]}")
     rest = [c for c in df.columns if c != fp]
     best = df.groupBy(fp).agg(F.min_by(F.struct(*rest), F.struct((~prefer).alias("p"), F.col(order).alias("o"))).alias("b"))
     return best.select(fp, "b.*")

@@ -8,6 +8,9 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fp_lower
+from ..scratch import Scratch
+from .metrics import average_precision, roc_auc, slice_metrics
 from .similarity import char_wb
 
 WORD_TERMS, CHAR_TERMS = 30_000, 50_000
@@ -47,12 +50,15 @@ class Detector:
     def fit(self, df: DataFrame, id: str, text: str, label: str, weight: str | None = None) -> "Detector":
         n = df.count()
         terms = self._terms(df, id, text).groupBy("block", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-        order = Window.partitionBy("block").orderBy(F.desc("total"), "term")
-        most = F.when(F.col("block") == "word", WORD_TERMS).otherwise(CHAR_TERMS)
-        top = terms.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+        terms = Scratch(df.sparkSession).keep(terms)
+        best = [terms.where(F.col("block") == b).orderBy(F.desc("total"), "term").limit(WORD_TERMS if b == "word" else CHAR_TERMS) for b in self.blocks]
+        # ranks of at most WORD_TERMS and CHAR_TERMS rows
+        top = best[0] if len(best) == 1 else best[0].unionByName(best[1])
+        top = top.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("total"), "term")))
         # vocabulary: at most WORD_TERMS + CHAR_TERMS rows
         offset = F.when(F.col("block") == "word", 0).otherwise(WORD_TERMS if "word" in self.blocks else 0)
-        self.vocabulary = top.select("block", "term", (F.col("r") - 1 + offset).cast("int").alias("at"), (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).cache()
+        self.vocabulary = top.select("block", "term", (F.col("r") - 1 + offset).cast("int").alias("at"), (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+        self.vocabulary = Scratch(df.sparkSession).keep(self.vocabulary)
         self.size = (WORD_TERMS if "word" in self.blocks else 0) + (CHAR_TERMS if "char" in self.blocks else 0)
         own = F.col(weight) if weight else F.lit(1.0)
         classes = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")).first()
@@ -70,6 +76,33 @@ class Detector:
         out = self.model.transform(self._features(df, id, text))
         return out.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
+    def evaluate(self, df: DataFrame, id: str, text: str, label: str, split: str, source: str, family: str, threshold: float, development: DataFrame, new_sources: bool = False, new_families: bool = False) -> tuple[DataFrame, DataFrame, dict]:
+        """Scores of external test rows, their metrics by slice, and the report's head:
+        kind, shared sources, area under the curve, average precision.
+
+        Rows of another split, a text that development rows have too, and with
+        ``new_sources`` or ``new_families`` a source or a positives' family that these
+        have (or a positive without family) are errors.
+        """
+        def refuse(bad: DataFrame, why: str) -> None:
+            for row in bad.limit(1).collect():
+                raise ValueError(f"{why}: {row[0]}")
+
+        refuse(df.where(~F.col(split).eqNullSafe("test")).select(id), "no test row")
+        fp = lambda x: x.select(fp_lower(F.col(text)).alias("fp"))
+        refuse(fp(df).join(fp(development).distinct(), "fp", "left_semi"), "text of a development row")
+        shared = sorted(r[0] for r in df.select(source).intersect(development.select(source)).where(F.col(source).isNotNull()).limit(1000).collect())  # names for a report
+        if new_sources and shared:
+            raise ValueError(f"sources of development rows: {shared}")
+        if new_families:
+            positive = lambda x: x.where(F.col(label) == 1).select(F.coalesce(family, F.lit("unknown")).alias("f"))
+            refuse(positive(df).unionByName(positive(development)).where("f = 'unknown'"), "positive without family")
+            refuse(positive(df).intersect(positive(development)), "family of development rows")
+        scored = Scratch(df.sparkSession).keep(self.score(df, id, text))
+        head = {"kind": "same-source external" if shared else "source-held-out", "shared_sources": shared, "families_checked": new_families, "threshold": threshold}
+        head |= {"auc": roc_auc(scored, "score", label).first()[0], "average_precision": average_precision(scored, "score", label).first()[0]}
+        return scored, slice_metrics(scored, "score", label, threshold, source, family), head
+
     def save(self, path: str, threshold: float) -> None:
         spark = self.vocabulary.sparkSession
         self.vocabulary.write.parquet(f"{path}/vocabulary")

@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .similarity import containment_links
 
 MAX_ROUNDS = 200
 
 
+def containment_components(sh: DataFrame, cutoff: float = 0.5, min_shared: int = 3) -> DataFrame:
+    """(id, root) of every row of a table of shingles or shingle sets: the components of
+    containment_edges, found over the different sets; root is the smallest row."""
+    edges, member = containment_links(sh, cutoff, min_shared)
+    roots = components(edges).select(F.col("id").alias("first"), "root")
+    return member.join(roots, "first", "left").select("id", F.coalesce("root", "first").alias("root"))
+
+
 def components(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
     """(id, root) of every vertex of the edges; root is the smallest vertex of its
     component.  Null ends are no edges; no edges give no rows.

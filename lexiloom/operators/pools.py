@@ -27,8 +27,7 @@ def build_pools(rows: DataFrame, seed: str = "pools", bank_benign: int = 1000, f
     rows = scratch.keep(rows.withColumn("sha", T.fp_nfkc(F.col("text"))))
     kept = D.dedup_conflict(rows, "sha", "id", "label").where("kept_id is not null").select(F.col("kept_id").alias("id"))
     rows = scratch.keep(rows.join(kept, "id", "left_semi"))
-    edges = X.containment_edges(X.shingles(rows, "id", T.normalized(F.col("text"))))
-    roots = G.components(edges)
+    roots = G.containment_components(X.shingle_sets(rows, "id", T.normalized(F.col("text"))))
     grouped = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     names = D.ledger(grouped, "id", "root", "sha", "label").select("root", F.col("group_id").alias("group"))
     grouped = scratch.keep(D.cross_domain_removal(grouped.join(names, "root").drop("root"), "group", "domain"))
@@ -49,14 +48,14 @@ def disjoint(candidates: DataFrame, evaluation: DataFrame, attacks: DataFrame, i
     normal = T.lowered(F.col(text))
     left = candidates
     for name, other in (("evaluation", evaluation), ("attacks", attacks)):
-        hits = X.cross_edges(X.shingles(left, id, normal), X.shingles(other, id, normal)).select(F.col("i").alias(id)).distinct()
+        hits = X.cross_edges(X.shingle_sets(left, id, normal), X.shingle_sets(other, id, normal)).select(F.col("i").alias(id)).distinct()
         left = scratch.keep(left.join(hits, id, "left_anti"))
         counts[name] = left.count()
     reference = evaluation.select(id, text).unionByName(attacks.select(id, text))
     far = semantic_far(left, reference, id, text, semantic)
     left = scratch.keep(far)
     counts["semantic"] = left.count()
-    roots = G.components(X.containment_edges(X.shingles(left, id, normal)))
+    roots = G.containment_components(X.shingle_sets(left, id, normal))
     left = scratch.keep(left.join(roots.withColumnRenamed("id", id), id, "left").where(F.col("root").isNull() | (F.col("root") == F.col(id))).drop("root"))
     counts["distinct"] = left.count()
     return left, counts

@@ -62,19 +62,19 @@ def nested_subsets(df: DataFrame, key: str, seeds: Sequence[int], budgets: Seque
     return first.select("seed", F.explode(F.filter(F.array(*[F.lit(b) for b in budgets]), lambda b: b >= F.col("r"))).alias("budget"), "key")
 
 
-def uniform_draw(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
+def uniform_draw(df: DataFrame, key: str, seed: str, n: int, strict: bool = True) -> DataFrame:
     """n rows without replacement, whatever the input order (ordering and limit run as
-    a top-n, not as a sort of all rows).  Fewer rows than n are an error."""
-    have = df.limit(n).count()
-    if have < n:
+    a top-n, not as a sort of all rows).  Fewer rows than n are an error if ``strict``,
+    else all are taken."""
+    if strict and (have := df.limit(n).count()) < n:
         raise ValueError(f"{n} rows are asked for, there are {have}")
     return df.withColumn("draw", rng.draw(seed, key)).orderBy("draw", key).limit(n).drop("draw")
 
 
-def mix(first: DataFrame, second: DataFrame, key: str, seed: str, n: int) -> DataFrame:
+def mix(first: DataFrame, second: DataFrame, key: str, seed: str, n: int, strict: bool = True) -> DataFrame:
     """Half of each, the first giving one more if n is odd."""
-    a = uniform_draw(first, key, seed + ":a", n - n // 2).withColumn("part", F.lit("first"))
-    return a.unionByName(uniform_draw(second, key, seed + ":b", n // 2).withColumn("part", F.lit("second")))
+    a = uniform_draw(first, key, seed + ":a", n - n // 2, strict).withColumn("part", F.lit("first"))
+    return a.unionByName(uniform_draw(second, key, seed + ":b", n // 2, strict).withColumn("part", F.lit("second")))
 
 
 def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -119,16 +119,16 @@ def feasible_counts(weights: dict[str, float], available: dict[str, int], total:
     raise ValueError("the fallbacks do not settle")
 
 
-def cell_pool(df: DataFrame, key: str, cell: str, order: str, weights: dict[str, float], n_train: int, n_val: int, seed: str) -> DataFrame:
+def cell_pool(df: DataFrame, key: str, cell: str, order: str, weights: dict[str, float], n_train: int, n_val: int, seed: str, strict: bool = True) -> DataFrame:
     """(key, cell, split): n_train + n_val rows with cells in proportion to the weights,
     each cell divided in the same proportion; drawn in an order by ``order`` hashes.  A
-    cell with too few rows is an error."""
+    cell with too few rows is an error if ``strict``, else gives what it has."""
     total = remainder_counts(weights, n_train + n_val)
     train = remainder_counts({k: float(v) for k, v in total.items()}, n_train)
     plan = F.create_map(*[F.lit(x) for k in total for x in (k, total[k])])
     taught = F.create_map(*[F.lit(x) for k in total for x in (k, train[k])])
     rows = df.where(F.col(cell).isin(*total)).select(F.col(key).alias("key"), F.col(cell).alias("cell"), F.col(order).alias("o"))
-    have = {x["cell"]: x["count"] for x in rows.groupBy("cell").count().collect()}  # one row a cell of the plan
+    have = {x["cell"]: x["count"] for x in rows.groupBy("cell").count().collect()} if strict else total  # one row a cell of the plan
     short = {c: n - have.get(c, 0) for c, n in total.items() if have.get(c, 0) < n}
     if short:
         raise ValueError(f"cells are short of rows: {short}")
@@ -180,7 +180,8 @@ def allocate_groups(groups: DataFrame, group: str, fractions: dict[str, float],
     spark, kind = groups.sparkSession, g.schema[group].dataType.simpleString()
     one = spark.createDataFrame(placed, f"`{group}` {kind}, partition string")
     ends = spark.createDataFrame(rows, f"has_positive {g.schema['has_positive'].dataType.simpleString()}, ends array<double>, total bigint")
-    rest = g.join(F.broadcast(ends), "has_positive").where(F.col("size") * SHARE <= F.col("total"))
+    same = g["has_positive"].eqNullSafe(ends["has_positive"])
+    rest = g.join(F.broadcast(ends), same).drop(ends["has_positive"]).where(F.col("size") * SHARE <= F.col("total"))
     run = running(rest, [F.desc("size"), F.col("draw"), F.col(group)], {"upto": F.col("size")}, ["has_positive", "size"], {"all": "upto"})
     place = (F.col("upto") - F.col("size") / 2) / F.col("all")
     passed = F.size(F.filter("ends", lambda e: e <= F.col("place")))

@@ -44,8 +44,12 @@ def doc_shingles(s, d) -> DataFrame:
     return X.shingles(docs(s, d), "doc_id", T.lowered(F.col("text")))
 
 
+def doc_sets(s, d) -> DataFrame:
+    return X.shingle_sets(docs(s, d), "doc_id", T.lowered(F.col("text")))
+
+
 def doc_edges(s, d) -> DataFrame:
-    return X.containment_edges(doc_shingles(s, d))
+    return X.containment_edges(doc_sets(s, d))
 
 
 query("shingle_stats", lambda s, d: doc_shingles(s, d).groupBy("id").agg(F.count("*").alias("n"), F.min("shingle").alias("first_shingle")),
@@ -54,7 +58,7 @@ query("containment_edges", doc_edges, f"WITH {DOC_SH} SELECT * FROM {DOC_EDGES}"
 
 
 def side(s, d, split: str) -> DataFrame:
-    return X.shingles(records(s, d).where(F.col("split") == split), "id", T.lowered(F.col("text")))
+    return X.shingle_sets(records(s, d).where(F.col("split") == split), "id", T.lowered(F.col("text")))
 
 
 _SIDES = _shingle_sql("te", "(SELECT * FROM " + RECORDS + " WHERE split = 'test')", "id") + ", " + _shingle_sql("tr", "(SELECT * FROM " + RECORDS + " WHERE split = 'train')", "id")
@@ -88,7 +92,7 @@ WITH_ROOTS = f"WITH RECURSIVE {DOC_SH}, {_REACH}"
 
 def doc_groups(s, d) -> DataFrame:
     """(doc_id, root): every labelled or unlabelled text document and its component."""
-    c = G.components(doc_edges(s, d)).withColumnRenamed("id", "doc_id")
+    c = G.containment_components(doc_sets(s, d)).withColumnRenamed("id", "doc_id")
     return docs(s, d).where("text is not null").join(c, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
 
 
@@ -192,9 +196,9 @@ query("target_bank_fill", lambda s, d: S.bank_fill(groups(s, d), "group_id", "ba
       f"SELECT group_id, benign, coalesce(sum(benign) OVER (ORDER BY {_D('bank', 'group_id')}, group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1000 AS in_bank FROM {_GS} WHERE benign > 0")
 query("nested_subsets", lambda s, d: S.nested_subsets(labelled(s, d), "doc_id", [1, 2], [10, 50]).select("seed", "budget", F.col("key").alias("doc_id")),
       f"SELECT seed, budget, doc_id FROM (SELECT seed, doc_id, row_number() OVER (PARTITION BY seed ORDER BY sha256(seed || ':' || doc_id), doc_id) AS r FROM {DOCS_LABELLED}, (VALUES (1), (2)) s(seed)) JOIN (VALUES (10), (50)) b(budget) ON r <= budget")
-query("uniform_draw", lambda s, d: S.uniform_draw(labelled(s, d).select("doc_id", "label"), "doc_id", "ud", 100),
+query("uniform_draw", lambda s, d: S.uniform_draw(labelled(s, d).select("doc_id", "label"), "doc_id", "ud", 100, strict=False),
       f"SELECT doc_id, label FROM {DOCS_LABELLED} ORDER BY {_D('ud', 'doc_id')}, doc_id LIMIT 100")
-query("mix_pools", lambda s, d: S.mix(labelled(s, d).where("label = 0").select("doc_id"), labelled(s, d).where("label = 1").select("doc_id"), "doc_id", "mx", 75),
+query("mix_pools", lambda s, d: S.mix(labelled(s, d).where("label = 0").select("doc_id"), labelled(s, d).where("label = 1").select("doc_id"), "doc_id", "mx", 75, strict=False),
       f"(SELECT doc_id, 'first' AS part FROM {DOCS_LABELLED} WHERE label = 0 ORDER BY {_D('mx:a', 'doc_id')}, doc_id LIMIT 38) UNION ALL (SELECT doc_id, 'second' FROM {DOCS_LABELLED} WHERE label = 1 ORDER BY {_D('mx:b', 'doc_id')}, doc_id LIMIT 37)")
 query("largest_remainder_alloc", lambda s, d: S.largest_remainder(records(s, d).groupBy("source").agg(F.count("*").alias("w")).where("source is not null"), "source", "w", 500),
       f"WITH w AS (SELECT source, count(*) AS w FROM {RECORDS} WHERE source IS NOT NULL GROUP BY 1), r AS (SELECT source, round(w / sum(w) OVER () * 500, 12) AS raw FROM w), b AS (SELECT source, raw, floor(raw) AS base FROM r) SELECT source, (base + (row_number() OVER (ORDER BY raw - base DESC, source) <= 500 - sum(base) OVER ())::INT)::BIGINT AS n FROM b")
@@ -203,7 +207,7 @@ _CELLS = {"en": 6.0, "de": 2.0, "fr": 1.0, "es": 1.0}
 
 def cell_pool(s, d):
     rows = docs(s, d).where("text is not null").withColumn("fp", T.fp_lower(F.col("text")))
-    return S.cell_pool(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang")), "doc_id", "lang", "fp", _CELLS, 60, 20, "cp").select(F.col("key").alias("doc_id"), F.col("cell").alias("lang"), "split")
+    return S.cell_pool(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang")), "doc_id", "lang", "fp", _CELLS, 60, 20, "cp", strict=False).select(F.col("key").alias("doc_id"), F.col("cell").alias("lang"), "split")
 
 
 query("cell_sample_pool", cell_pool,
@@ -221,7 +225,23 @@ query("loto_mask", loto,
       f"SELECT doc_id, label, family FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_D('lo', 'doc_id')}, doc_id) <= round_even(count(*) OVER (PARTITION BY label) * 0.3, 0) AS in_test FROM {DOCS_LABELLED}) WHERE coalesce(family = 'roleplay', false) OR (label = 0 AND in_test)")
 query("index_blocks", lambda s, d: S.index_blocks(docs(s, d).select("doc_id"), "doc_id", 100, 150, 900),
       "SELECT doc_id, ((doc_id - 100) // 150)::BIGINT AS block, 100 + ((doc_id - 100) // 150) * 150 AS lo, least(100 + ((doc_id - 100) // 150 + 1) * 150, 900) AS hi FROM documents WHERE doc_id >= 100 AND doc_id < 900")
-query("largest_first_allocation", lambda s, d: S.allocate_groups(groups(s, d), "group_id", {"S-train": 0.55, "S-cal": 0.25, "S-generic-bank": 0.05, "S-test": 0.15}, "alloc"))
+_SHARES = {"S-train": 0.55, "S-cal": 0.25, "S-generic-bank": 0.05, "S-test": 0.15}
+query("largest_first_allocation", lambda s, d: S.allocate_groups(groups(s, d), "group_id", _SHARES, "alloc"))
+
+
+def allocation(s, d):
+    """Groups and rows that are allocated in each stratum, and whether every partition is
+    off its share by no more than the largest group."""
+    placed = groups(s, d).join(S.allocate_groups(groups(s, d), "group_id", _SHARES, "alloc"), "group_id")
+    placed = placed.withColumn("has_positive", F.coalesce("has_positive", F.lit(-1)))  # no label known
+    per = placed.groupBy("has_positive", "partition").agg(F.count("*").alias("groups"), F.sum("size").alias("rows"), F.max("size").alias("largest"))
+    want = F.element_at(F.create_map(*[F.lit(x) for p in _SHARES for x in (p, _SHARES[p])]), F.col("partition"))
+    whole = per.groupBy("has_positive").agg(F.sum("groups").alias("groups"), F.sum("rows").alias("rows"), F.max("largest").alias("largest"))
+    off = per.join(whole.select("has_positive", F.col("rows").alias("all")), "has_positive").groupBy("has_positive").agg(F.max(F.abs(F.col("rows") - want * F.col("all"))).alias("off"))
+    return whole.join(off, "has_positive").select("has_positive", "groups", "rows", (F.col("off") <= F.col("largest")).alias("met"))
+
+
+query("allocation_balance", allocation, f"SELECT coalesce(has_positive, -1) AS has_positive, count(*) AS groups, sum(size)::BIGINT AS rows, true AS met FROM {_GS} GROUP BY 1")
 
 
 def churn(s, d):

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..operators import inference as I, metrics as M
-from .registry import docs, query, table
+from ..operators import inference as I, metrics as M, reports as P
+from .registry import docs, lab, query, table
 from .text_queries import H, U
 
 R = lambda c, n=9: F.round(c, n)
@@ -29,7 +29,7 @@ EV = "(SELECT event_id, user_id, value AS score, (event_type = 'error')::INT AS
 
 
 def lines(s, d):
-    return table(s, d, "lineitem").select(F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_suppkey").alias("grp"), "l_shipmode" if False else "l_linestatus", "l_linenumber")
+    return table(s, d, "lineitem").select(F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_suppkey").alias("grp"), "l_linestatus", "l_linenumber")
 
 
 LI = "(SELECT l_quantity AS score, (l_returnflag = 'R')::INT AS label, l_suppkey AS grp, l_linestatus, l_linenumber FROM lineitem)"
@@ -200,10 +200,98 @@ def per_group(s, d):
     return lines(s, d).groupBy("grp", "l_linestatus").agg(F.avg("score").alias("v"))
 
 
-_T99 = I.t_quantile(0.975, 99)
-query("t_interval", lambda s, d: _round(I.t_interval(per_group(s, d).where("l_linestatus = 'O'"), "v"), "mean", "low", "high", n=8))
-query("welch", lambda s, d: _round(I.welch(per_group(s, d), "l_linestatus", "v", "O", "F"), "diff", "low", "high", "df", n=7))
-query("nadeau_bengio", lambda s, d: _round(I.nadeau_bengio(per_group(s, d).where("l_linestatus = 'F'"), "v", 700, 300), "mean", "low", "high", n=8))
+# quantiles are literals for the numbers of suppliers of the test tables
+_T = "CASE n " + " ".join(f"WHEN {n} THEN {I.t_quantile(0.975, n - 1)!r}::DOUBLE" for n in (10, 100, 1000)) + " END"
+_GROUPS = f"(SELECT grp, l_linestatus, avg(score) AS v FROM {LI} GROUP BY ALL)"
+query("t_interval", lambda s, d: _round(I.t_interval(per_group(s, d).where("l_linestatus = 'O'"), "v"), "mean", "low", "high", n=8),
+      f"SELECT n, round(m, 8) AS mean, round(m - {_T} * sd / sqrt(n), 8) AS low, round(m + {_T} * sd / sqrt(n), 8) AS high FROM (SELECT count(v) AS n, avg(v) AS m, stddev_samp(v) AS sd FROM {_GROUPS} WHERE l_linestatus = 'O')")
+# Welch's degrees of freedom are no integer: the quantile by its expansion around the normal one
+_Q = "z + (z^3 + z) / (4 * f) + (5 * z^5 + 16 * z^3 + 3 * z) / (96 * f^2) + (3 * z^7 + 19 * z^5 + 17 * z^3 - 15 * z) / (384 * f^3) + (79 * z^9 + 776 * z^7 + 1482 * z^5 - 1920 * z^3 - 945 * z) / (92160 * f^4)"
+query("welch", lambda s, d: _round(I.welch(per_group(s, d), "l_linestatus", "v", "O", "F"), "diff", "low", "high", "df", n=7),
+      f"WITH a AS (SELECT avg(v) AS m, var_samp(v) / count(v) AS e, count(v) AS n FROM {_GROUPS} WHERE l_linestatus = 'O'), b AS (SELECT avg(v) AS m, var_samp(v) / count(v) AS e, count(v) AS n FROM {_GROUPS} WHERE l_linestatus = 'F'), x AS (SELECT a.m - b.m AS d, sqrt(a.e + b.e) AS se, (a.e + b.e)^2 / (a.e^2 / (a.n - 1) + b.e^2 / (b.n - 1)) AS f, {_Z}::DOUBLE AS z FROM a, b), y AS (SELECT d, f, ({_Q}) * se AS h FROM x) SELECT round(d, 7) AS diff, round(d - h, 7) AS low, round(d + h, 7) AS high, round(f, 7) AS df FROM y")
+query("nadeau_bengio", lambda s, d: _round(I.nadeau_bengio(per_group(s, d).where("l_linestatus = 'F'"), "v", 700, 300), "mean", "low", "high", n=8),
+      f"SELECT round(m, 8) AS mean, round(m - {_T} * sqrt((1 / n + 300 / 700) * va), 8) AS low, round(m + {_T} * sqrt((1 / n + 300 / 700) * va), 8) AS high FROM (SELECT count(v) AS n, avg(v) AS m, var_samp(v) AS va FROM {_GROUPS} WHERE l_linestatus = 'F')")
+query("weighted_rate", lambda s, d: _round(P.rate(lines(s, d), "label", ["l_linestatus"], "l_linenumber"), "rate"),
+      f"SELECT l_linestatus, round(sum(label * l_linenumber)::DOUBLE / sum(l_linenumber), 9) AS rate FROM {LI} GROUP BY 1")
+query("rate_interval", lambda s, d: _round(P.rate_interval(cells(s, d), "a1", REPS, "rate"), "estimate", "low", "high"),
+      f"{_means('rate', False, chr(39) + 'a1' + chr(39))}, p AS (SELECT count(*) AS n, avg(flag) AS r FROM store WHERE arm = 'a1' GROUP BY model) SELECT (SELECT max(n) FROM p)::BIGINT AS n_rows, round((SELECT avg(r) FROM p), 9) AS estimate, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM m")
+_T5 = repr(I.t_quantile(0.975, MODELS - 1))
+query("contrast", lambda s, d: _round(P.contrast(cells(s, d), "a0", "a1", REPS, "contrast"), "estimate", "boot_low", "boot_high", "t_low", "t_high"),
+      f"{_means('contrast', True, chr(39) + 'a0' + chr(39) + ',' + chr(39) + 'a1' + chr(39))}, x AS (SELECT rep, {_pick('a0')} - {_pick('a1')} AS diff FROM m GROUP BY rep), q AS (SELECT model, avg(flag) FILTER (arm = 'a0') - avg(flag) FILTER (arm = 'a1') AS d FROM store GROUP BY model), t AS (SELECT avg(d) AS e, {_T5}::DOUBLE * stddev_samp(d) / sqrt(count(*)) AS h FROM q) SELECT round(any_value(e), 9) AS estimate, round(quantile_cont(diff, 0.025), 9) AS boot_low, round(quantile_cont(diff, 0.975), 9) AS boot_high, round(any_value(e - h), 9) AS t_low, round(any_value(e + h), 9) AS t_high FROM x, t")
+
+
+def report(s, d):
+    """Metrics of two arms on two sets of events, models scoring all of them."""
+    e = table(s, d, "events").select("event_id", F.col("user_id").alias("group"), (F.col("event_type") == "error").cast("int").alias("label"), F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd").alias("set"))
+    arms = F.explode(F.array(F.lit("a0"), F.lit("a1"))).alias("arm")
+    x = e.select("*", arms).withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("budget", F.lit(25))
+    score = F.round(rng.uniform("report", "arm", "model", "event_id") * 50, 0) / 50 + F.col("label") * 0.1
+    x = x.withColumns({"score": F.round(score, 6), "threshold": F.lit(0.9), "row_id": F.col("event_id")})
+    return _round(P.metric_report(x, 20, "report", 0.05), "estimate", "low", "high", n=7)
+
+
+_W20 = f"g AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS g FROM (SELECT DISTINCT grp FROM st)), n AS (SELECT count(*) AS n FROM g), w AS (SELECT rep, grp, w FROM (SELECT rep, {H(chr(39) + 'report' + chr(39), 'rep', 'slot')} % n AS g, count(*) AS w FROM range(20) r(rep), (SELECT g AS slot FROM g), n GROUP BY ALL) JOIN g USING (g) UNION ALL SELECT -1, grp, 1 FROM g)"
+query("metric_report", report, f"""WITH st AS (SELECT event_id, user_id AS grp, (event_type = 'error')::INT AS label, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS st, arm, model, round(round({U(chr(39) + 'report' + chr(39), 'arm', 'model', 'event_id')} * 50, 0) / 50 + (event_type = 'error')::INT * 0.1::DOUBLE, 6) AS score FROM events, (VALUES ('a0'), ('a1')) a(arm), range(3) m(model)), {_W20},
+b AS (SELECT rep, st, arm, model, score, sum(w * label)::DOUBLE AS pos, sum(w * (1 - label))::DOUBLE AS neg FROM st JOIN w USING (grp) GROUP BY ALL),
+k AS (SELECT *, sum(pos) OVER (PARTITION BY rep, st, arm, model ORDER BY score DESC) AS cp, sum(neg) OVER (PARTITION BY rep, st, arm, model ORDER BY score DESC) AS cn, sum(pos) OVER (PARTITION BY rep, st, arm, model) AS ap, sum(neg) OVER (PARTITION BY rep, st, arm, model) AS an FROM b),
+v AS (SELECT rep, st, arm, model, sum(pos) FILTER (score > 0.9) / any_value(ap) AS operational_recall, sum(neg) FILTER (score > 0.9) / any_value(an) AS operational_fpr, max(CASE WHEN cn / an <= 0.05 + 1e-12 THEN cp / ap ELSE 0 END) AS recall_at_fpr FROM k GROUP BY ALL),
+l AS (UNPIVOT v ON operational_recall, operational_fpr, recall_at_fpr INTO NAME metric VALUE value),
+dr AS (SELECT rep, {H(chr(39) + 'report:models' + chr(39), chr(39) + 'all' + chr(39), 'rep', 'slot')} % 3 AS model, count(*) AS times FROM range(20) r(rep), range(3) q(slot) GROUP BY ALL),
+mm AS (SELECT st, arm, metric, rep, sum(value * times) / sum(times) AS mean FROM l JOIN dr USING (rep, model) GROUP BY ALL),
+ci AS (SELECT st, arm, metric, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM mm GROUP BY ALL),
+es AS (SELECT st, arm, metric, avg(value) AS estimate FROM l WHERE rep = -1 GROUP BY ALL), nn AS (SELECT st, count(DISTINCT event_id) AS n_rows, count(DISTINCT event_id) FILTER (label = 1) AS n_positive, count(DISTINCT grp) AS n_groups FROM st GROUP BY 1)
+SELECT st AS "set", arm, 25 AS budget, metric, round(estimate, 7) AS estimate, round(low, 7) AS low, round(high, 7) AS high, n_rows, n_positive, n_groups FROM es JOIN ci USING (st, arm, metric) JOIN nn USING (st)""")
+
+
+def inflated(s, d):
+    """Means of row and group splits by flag and line number."""
+    t = table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("detector"), F.col("l_linenumber").alias("repeat"), F.when(F.col("l_linestatus") == "O", "row").otherwise("group").alias("kind")).agg(F.avg("l_quantity").alias("value"))
+    return _round(P.inflation(t, 700, 300), "row_mean", "group_mean", "inflation", "low", "high", n=8)
+
+
+_TN = "CASE n " + " ".join(f"WHEN {n} THEN {I.t_quantile(0.975, n - 1)!r}::DOUBLE" for n in range(2, 8)) + " END"
+query("split_inflation", inflated,
+      f"WITH t AS (SELECT l_returnflag AS detector, l_linenumber AS rp, avg(l_quantity) FILTER (l_linestatus = 'O') AS r, avg(l_quantity) FILTER (l_linestatus <> 'O') AS g FROM lineitem GROUP BY ALL), s AS (SELECT detector, count(*) AS n, avg(r) AS rm, avg(g) AS gm, avg(r - g) AS i, var_samp(r - g) AS v FROM t WHERE r IS NOT NULL AND g IS NOT NULL GROUP BY 1) SELECT detector, n AS repeats, round(rm, 8) AS row_mean, round(gm, 8) AS group_mean, round(i, 8) AS inflation, round(i - {_TN} * sqrt((1 / n + 300 / 700) * v), 8) AS low, round(i + {_TN} * sqrt((1 / n + 300 / 700) * v), 8) AS high FROM s")
+
+
+def audit(s, d):
+    """Labels of the ledger's owner against a second annotator who differs on some."""
+    owner = docs(s, d).where("label is not null").select("doc_id", "label")
+    second = owner.where("doc_id % 3 > 0").select("doc_id", F.when(F.col("doc_id") % 11 == 0, 1 - F.col("label")).otherwise(F.col("label")).alias("label"))
+    return P.audit_pairs(owner, second, "doc_id", "label")
+
+
+_AUDIT = "(SELECT doc_id, label AS a, CASE WHEN doc_id % 11 = 0 THEN 1 - label ELSE label END AS b FROM documents WHERE label IS NOT NULL AND doc_id % 3 > 0)"
+query("audit_pairs", audit, f"SELECT * FROM {_AUDIT}")
+_M = lambda s: f"SELECT {s} count(*) AS n, avg((x = y)::INT::DOUBLE) AS po, avg(x::DOUBLE) * avg(y::DOUBLE) + (1 - avg(x::DOUBLE)) * (1 - avg(y::DOUBLE)) AS pe, 2 * ((avg(x::DOUBLE) + avg(y::DOUBLE)) / 2) * (1 - (avg(x::DOUBLE) + avg(y::DOUBLE)) / 2) AS pg"
+_L = lambda by: f"(SELECT {by} n, 'agreement' AS measure, po AS value FROM {{0}} UNION ALL SELECT {by} n, 'kappa', (po - pe) / (1 - pe) FROM {{0}} UNION ALL SELECT {by} n, 'ac1', (po - pg) / (1 - pg) FROM {{0}})"
+query("agreement_interval", lambda s, d: _round(P.agreement_interval(audit(s, d), "a", "b", 40, "iaa"), "value", "low", "high"),
+      f"WITH k AS (SELECT count(*) FILTER (a = 0 AND b = 0) AS c0, count(*) FILTER (a = 0 AND b = 1) AS c1, count(*) FILTER (a = 1 AND b = 0) AS c2, count(*) AS n FROM {_AUDIT}), z AS (SELECT rep, {H(chr(39) + 'iaa' + chr(39), 'rep', 'slot')} % n AS pos, c0, c1, c2 FROM k, range(40) r(rep), (SELECT row_number() OVER () - 1 AS slot FROM {_AUDIT})), dr AS (SELECT rep, (pos >= c0 + c1)::INT AS x, ((pos >= c0 AND pos < c0 + c1) OR pos >= c0 + c1 + c2)::INT AS y FROM z), rs AS ({_M('rep,')} FROM dr GROUP BY rep), ps AS ({_M('')} FROM (SELECT a AS x, b AS y FROM {_AUDIT})), q AS (SELECT measure, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high FROM {_L('rep,').format('rs')} GROUP BY 1) SELECT n, measure, round(value, 9) AS value, round(low, 9) AS low, round(high, 9) AS high FROM {_L('').format('ps')} JOIN q USING (measure)")
+
+
+def decided(s, d):
+    """Status of the contrast of every user's scores against 50 by two intervals."""
+    g = scores(s, d).groupBy("event_type").agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("sd"), F.count("*").alias("n"))
+    band = lambda k: F.struct((F.col("m") - 50 - k * F.col("sd") / F.sqrt("n")).alias("low"), (F.col("m") - 50 + k * F.col("sd") / F.sqrt("n")).alias("high"))
+    return g.select("event_type", I.decide(band(F.lit(0.5)), band(F.lit(2.0)), F.col("event_type") != "view").alias("x")).select("event_type", "x.*")
+
+
+query("decide", decided,
+      f"WITH g AS (SELECT event_type, avg(score) - 50 AS m, stddev_samp(score) / sqrt(count(*)) AS e FROM {EV} GROUP BY 1), b AS (SELECT event_type, event_type <> 'view' AS ok, (m + 0.5 * e < 0)::INT + (m + 2 * e < 0)::INT AS lo, (m - 0.5 * e > 0)::INT + (m - 2 * e > 0)::INT AS hi, m + 0.5 * e < -0.05 AND m + 2 * e < -0.05 AS five FROM g) SELECT event_type, CASE WHEN ok THEN 'complete' ELSE 'incomplete' END AS status, CASE WHEN ok THEN lo = 2 END AS reduction, CASE WHEN ok THEN hi = 2 END AS increase, CASE WHEN ok THEN lo = 1 OR hi = 1 END AS fragile, CASE WHEN ok THEN five END AS beyond_5_points FROM b")
+query("pooled_vectors", lambda s, d: P.pooled_vectors(table(s, d, "embeddings").withColumn("w", F.col("vec_id") % 3), "label", "embedding", "w").select("label", F.round(F.col("vector")[0], 8).alias("first"), F.size("vector").alias("dims")),
+      "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k, vec_id % 3 AS w FROM embeddings WHERE vec_id % 3 > 0), m AS (SELECT label, k, sum(x * w) / sum(w) AS m FROM e GROUP BY ALL) SELECT label, round(max(m) FILTER (k = 1) / sqrt(sum(m * m)), 8) AS first, count(*)::INT AS dims FROM m GROUP BY label")
+
+
+def mined(s, d):
+    """Texts that hold "ignore", a scorer without a model, and are not in the lab's test split."""
+    make = lambda: (lambda texts: [float("ignore" in t.lower()) for t in texts])
+    known = lab(s, d).where("split = 'test' and text is not null").select(F.lower("text").alias("key"))
+    rows = lab(s, d).where("text is not null and source is not null").select("source", "text")
+    return P.mine(rows, "text", "source", known, "key", F.lower("text"), make)[1]
+
+
+query("mining_counts", mined,
+      "WITH r AS (SELECT source, text, lower(text) NOT IN (SELECT lower(text) FROM injection_lab WHERE split = 'test' AND text IS NOT NULL) AS fresh FROM injection_lab WHERE text IS NOT NULL AND source IS NOT NULL) SELECT source, count(*) AS passed_filter, count(*) FILTER (fresh) AS not_in_benchmark, count(*) FILTER (fresh AND contains(lower(text), 'ignore')) AS flagged FROM r GROUP BY 1")
 query("seed_value_mean", lambda s, d: _round(store(s, d).where("arm = 'a1'").groupBy("event_id").agg(F.avg("flag").alias("v")).groupBy((F.col("event_id") % 100).alias("seed")).agg(F.avg("v").alias("mean_flag")), "mean_flag"),
       f"WITH {STORE} SELECT event_id % 100 AS seed, round(avg(v), 9) AS mean_flag FROM (SELECT event_id, avg(flag) AS v FROM store WHERE arm = 'a1' GROUP BY 1) GROUP BY 1")
 

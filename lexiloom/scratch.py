@@ -35,12 +35,16 @@ def _delete_local(url: str) -> None:
     shutil.rmtree(url.removeprefix("file://"), ignore_errors=True)
 
 
+#: Folders of this process's intermediate tables.
+_ROOTS: list[str] = []
+
+
 class Scratch:
     """Written tables of one operator call.
 
     ``keep`` writes a DataFrame and returns a reader over the files, which cuts
     the lineage and survives lost executors.  ``drop`` deletes a table that no
-    later step reads; what a result still reads goes when the process ends.
+    later step reads; what a result still reads goes with ``release``.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -48,7 +52,9 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
         self._n = 0
-        atexit.register(self._at_exit)
+        if not _ROOTS:
+            atexit.register(release, spark)
+        _ROOTS.append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self._n}"
@@ -66,12 +72,19 @@ class Scratch:
                 self._delete(path)
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-    def _at_exit(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # the JVM is gone; the session's folder is deleted by its owner
-            pass
+        _delete_path(self.spark, path)
+
+
+def _delete_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this process.  A long session calls it when no
+    result is read any more; otherwise it runs when the process ends."""
+    try:
+        while _ROOTS:
+            _delete_path(spark, _ROOTS.pop())
+    except Exception:  # the JVM is gone; the session's folder is deleted by its owner
+        _ROOTS.clear()

@@ -39,3 +39,12 @@ def join_salted(left: DataFrame, members: DataFrame, key: str, by: str, hot: Dat
     a = left.join(marks, key, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
     b = members.join(marks, key, "left").withColumn("_salt", one).drop("_hot")
     return a.join(b, [key, "_salt"], "inner").drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is small by the optimiser's estimate, so read by fewer tasks than there
+    are cores, over all cores before costly expressions; any other is left as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores << 26 else df
