@@ -26,7 +26,7 @@ class NearCopies:
         wordy = df.where(F.col(id).isNotNull()).select(F.col(text).alias("text"))
         self.n_rows = self.copies.rows.count()
         self.members = self.copies.rows.where("n_words > 0").select("id", F.col("w").alias("key")).distinct()
-        self.near = self._without_copies(near_pairs(wordy, "text", self.n_rows, self.scratch))
+        self.near = self._without_copies(near_pairs(wordy, "text", self.n_rows, self.copies.repeats.select(F.col("w").alias("key")).distinct(), self.scratch))
 
     def classes(self) -> DataFrame:
         """(key, kept) for the word sequences whose text has copies."""

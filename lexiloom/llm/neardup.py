@@ -4,9 +4,10 @@ Two texts are near-duplicates if they share at least ``share`` of their words,
 counted with repeats and in any order, of the longer text's words.
 
 1. Document frequencies of all words are counted over all texts.  Words in more
-   than ``RARE`` of the texts are broadcast with their weight, the logarithm of
-   the inverse frequency to the power POWER; there can be at most (mean words a
-   text) / RARE.
+   than ``RARE`` of the texts, the MOST_WORDS most frequent of them at most, are
+   broadcast with their weight, the logarithm of the inverse frequency to the power
+   POWER; all others have the weight of RARE.  Weights only steer which pairs become
+   candidates.
 2. Every distinct text gets BANDS bucket hashes of ROWS weighted minhashes each
    (candidates), and 64 plain minhashes of its bag of words in four batches of
    16, 4 bits each (verification).
@@ -14,11 +15,17 @@ counted with repeats and in any order, of the longer text's words.
    probability of being similar enough is looked up; the pair is dropped where
    that is below MISS.  The first two batches travel with the bucket rows, so
    most candidates go before any further shuffle.
-4. Survivors are verified exactly on their whole bags of words.
+4. Survivors are verified exactly on their whole bags of words: 48-bit hashes of
+   (word, number of its occurrence).
 
 The necessary bag similarity (Jaccard) of a pair follows from its lengths; it
 lies between share / (2 - share) and share.  Copies are done once: every step
-works on distinct word sequences.
+works on distinct word sequences.  Signatures are written once a partition; only
+those of word sequences that may repeat, by a Bloom filter of the repeats that
+problem 4 has found, are shuffled to have each once.
+
+A bucket may be hot.  Both sides of the bucket join come straight from an exchange, so
+that adaptive execution splits a skewed partition of either side among tasks.
 """
 
 from __future__ import annotations
@@ -41,6 +48,8 @@ BANDS, ROWS = 48, 5
 BATCHES, PER_BATCH = 4, 16
 MISS = 0.002
 RARE = 1e-4
+#: Words that are broadcast at most (12 bytes each).
+MOST_WORDS = 1 << 20
 POWER = 0.5
 
 _NIBBLES = 0x1111111111111111
@@ -83,7 +92,7 @@ def needed_similarity(a: Column, b: Column, share: float = SHARE) -> Column:
     return F.lit(share) * long / (a + b - F.lit(share) * long)
 
 
-def word_weights(texts: DataFrame, text: str, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+def word_weights(texts: DataFrame, text: str, n_texts: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words in at least RARE of the texts, sorted, and their weights."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +123,9 @@ def word_weights(texts: DataFrame, text: str, n_texts: int) -> tuple[np.ndarray,
             yield flush()
 
     counted = texts.select(text).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    common = counted.where(F.col("n") >= F.lit(RARE * n_texts)).toPandas()  # at most mean words / RARE rows
+    held = scratch.keep(counted.where(F.col("n") >= F.lit(RARE * n_texts)))  # mean words / RARE rows
+    common = (held if held.count() <= MOST_WORDS else held.orderBy(F.desc("n"), "word").limit(MOST_WORDS)).toPandas()
+    scratch.drop(held)
     words, n = common["word"].to_numpy(np.int64).view(np.uint64), common["n"].to_numpy(float)
     order = np.argsort(words)
     return words[order], (np.maximum(-np.log(n[order] / max(1, n_texts)), 1e-3) ** POWER).astype(np.float32)
@@ -184,9 +195,9 @@ def _first_of_partition(seen: set[int], keys: np.ndarray, ok: np.ndarray) -> np.
     return pick
 
 
-def signatures(df: DataFrame, text: str, common: np.ndarray, weights: np.ndarray) -> DataFrame:
-    """(key, n, buckets, s1..s4) once in a partition for each distinct word sequence;
-    key is its 64-bit hash."""
+def signatures(df: DataFrame, text: str, common: np.ndarray, weights: np.ndarray, repeats: bloom.Filter) -> DataFrame:
+    """(key, n, buckets, s1..s4, twin) once in a partition for each distinct word sequence;
+    key is its 64-bit hash, twin tells that it may occur in other partitions too."""
     held = df.sparkSession.sparkContext.broadcast((common, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,16 +213,17 @@ def signatures(df: DataFrame, text: str, common: np.ndarray, weights: np.ndarray
                 n = len(limits) - 1
                 columns = [pa.array(key[pick].view(np.int64)), pa.array(np.diff(limits).astype(np.int32)), lists(buckets.view(np.int64).ravel(), np.arange(n + 1) * BANDS, pa.int64())]
                 columns += [pa.array(np.ascontiguousarray(batched[:, k]).view(np.int64)) for k in range(BATCHES)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "buckets", *_SIGS])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(repeats.holds(key[pick]))], ["key", "n", "buckets", *_SIGS, "twin"])
 
-    return df.select(text).mapInArrow(run, "key bigint, n int, buckets array<bigint>, " + ", ".join(f"{s} bigint" for s in _SIGS))
+    return df.select(text).mapInArrow(run, "key bigint, n int, buckets array<bigint>, " + ", ".join(f"{s} bigint" for s in _SIGS) + ", twin boolean")
 
 
 _SIGS = [f"s{k + 1}" for k in range(BATCHES)]
 
 
-def bags(df: DataFrame, text: str, wanted: bloom.Filter) -> DataFrame:
-    """(key, bag) once in a partition for each word sequence that may be wanted."""
+def bags(df: DataFrame, text: str, wanted: bloom.Filter, repeats: bloom.Filter) -> DataFrame:
+    """(key, bag, twin) once in a partition for each word sequence that may be wanted; a
+    bag holds 48-bit hashes in ascending order."""
     none = np.empty(0, np.uint64), np.empty(0, np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,19 +232,45 @@ def bags(df: DataFrame, text: str, wanted: bloom.Filter) -> DataFrame:
             for w in split_words(texts_of(batch.column(0))):
                 key = w.sequence_hashes(w.hashes(1), 1)
                 pick = _first_of_partition(seen, key, (w.counts > 0) & wanted.holds(key))
-                if pick.any():
-                    _, element, limits = signer.bag(w, w.hashes(0), pick)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[pick].view(np.int64)), lists(element.view(np.int64), limits, pa.int64())], ["key", "bag"])
+                if not pick.any():
+                    continue
+                _, element, limits = signer.bag(w, w.hashes(0), pick)
+                short = element >> np.uint64(16)
+                short = short[np.lexsort((short, np.repeat(np.arange(len(limits) - 1), np.diff(limits))))]
+                raw = np.ascontiguousarray(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+                bag = pa.Array.from_buffers(pa.binary(), len(limits) - 1, [None, pa.py_buffer((limits * 6).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(key[pick].view(np.int64)), bag, pa.array(repeats.holds(key[pick]))], ["key", "bag", "twin"])
+
+    return df.select(text).mapInArrow(run, "key bigint, bag binary, twin boolean")
+
+
+def shared_words(a: bytes, b: bytes) -> int:
+    """Elements that two bags share."""
+    x, y = (np.frombuffer(v, np.uint16).reshape(-1, 3).astype(np.uint64) for v in (a, b))
+    x, y = (v[:, 0] | v[:, 1] << np.uint64(16) | v[:, 2] << np.uint64(32) for v in (x, y))
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def _alike(pairs: DataFrame, share: float) -> DataFrame:
+    """(key_a, key_b) of the pairs (..., n_a, n_b, bag_a, bag_b) that share enough words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.maximum(batch.column("n_a").to_numpy(zero_copy_only=False), batch.column("n_b").to_numpy(zero_copy_only=False))
+            both = np.fromiter((shared_words(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("bag_a"), batch.column("bag_b"))), np.int64, batch.num_rows)
+            yield batch.select(["key_a", "key_b"]).filter(pa.array(both >= share * n))
 
-    return df.select(text).mapInArrow(run, "key bigint, bag array<bigint>")
+    return pairs.select("key_a", "key_b", "n_a", "n_b", "bag_a", "bag_b").mapInArrow(run, "key_a bigint, key_b bigint")
 
 
-def near_pairs(df: DataFrame, text: str, n_texts: int, scratch: Scratch, share: float = SHARE) -> DataFrame:
-    """(key_a, key_b): near-duplicate pairs of distinct word sequences, each once."""
-    common, weights = word_weights(df, text, n_texts)
-    signed = scratch.keep(signatures(df, text, common, weights).withColumn("row", F.monotonically_increasing_id()))
-    twice = scratch.keep(signed.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("times")).where("times > 1").select("key", "first"))
-    once = signed.join(twice, "key", "left").where("first is null or row = first")
+def near_pairs(df: DataFrame, text: str, n_texts: int, repeats: DataFrame, scratch: Scratch, share: float = SHARE) -> DataFrame:
+    """(key_a, key_b): near-duplicate pairs of distinct word sequences, each once.
+    ``repeats``: (key) of every word sequence that occurs in two or more rows."""
+    common, weights = word_weights(df, text, n_texts, scratch)
+    repeated = bloom.build(repeats, "key", repeats.count(), repeated=False)
+    signed = scratch.keep(signatures(df, text, common, weights, repeated))
+    twins = scratch.keep(signed.where("twin").dropDuplicates(["key"]))
+    once = signed.where("not twin").unionByName(twins)
 
     rows = once.select(F.explode("buckets").alias("bucket"), "key", "n", "s1", "s2")
     a, b = rows.alias("a"), rows.alias("b")
@@ -254,13 +292,13 @@ def near_pairs(df: DataFrame, text: str, n_texts: int, scratch: Scratch, share:
         agree = agree + _agreeing(F.col(f"{s}_a"), F.col(f"{s}_b"))
         keep = keep & _possible(agree, PER_BATCH * (k + 1), need)
     survivors = scratch.keep(known.where(keep).select("key_a", "key_b", "n_a", "n_b"))
-    scratch.drop(signed, twice)
+    scratch.drop(signed, twins)
 
     ends = survivors.select(F.explode(F.array("key_a", "key_b")).alias("key"))
     wanted = bloom.build(ends, "key", max(1, 2 * survivors.count()), repeated=False)
-    held = scratch.keep(bags(df, text, wanted).dropDuplicates(["key"]))
+    found = scratch.keep(bags(df, text, wanted, repeated))
+    held = found.where("not twin").unionByName(found.where("twin").dropDuplicates(["key"]))
     bag = lambda x: held.select(F.col("key").alias(f"key_{x}"), F.col("bag").alias(f"bag_{x}"))
-    exact = survivors.join(bag("a"), "key_a").join(bag("b"), "key_b").where(F.size(F.array_intersect("bag_a", "bag_b")) >= F.lit(share) * F.greatest("n_a", "n_b"))
-    out = scratch.keep(exact.select("key_a", "key_b"))
-    scratch.drop(survivors, held)
+    out = scratch.keep(_alike(survivors.join(bag("a"), "key_a").join(bag("b"), "key_b"), share))
+    scratch.drop(survivors, found)
     return out
