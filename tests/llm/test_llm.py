@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.llm import neardup
+from lexiloom.llm import formatdup, neardup
 from lexiloom.llm.bloom import build
 from lexiloom.llm.canon import field_marks, mark_pattern, FIELD_NAMES
 from lexiloom.llm.components import hash_to_min, matches
@@ -89,6 +89,14 @@ def test_layout_copies(spark):
     assert empty.copies().count() == 0 and empty.records().count() == 0
 
 
+def test_ranges_of_hashes_give_the_same_copies(spark, monkeypatch):
+    data = [(f"t{i:03}", TEXTS[i % len(TEXTS)] if i % 4 else f"own {i}") for i in range(120)]
+    df = spark.createDataFrame(data, "id string, text string").repartition(3)
+    want = rows(LayoutCopies(df, "id", "text").copies())
+    monkeypatch.setattr(formatdup, "RANGE_HASHES", 50)
+    assert rows(LayoutCopies(df, "id", "text").copies()) == want and want
+
+
 def test_one_text_may_hold_a_third_of_the_rows(spark):
     data = [(f"h{i:05}", "Same text here!" if i % 3 == 0 else f"own text {i}") for i in range(3000)]
     got = rows(LayoutCopies(spark.createDataFrame(data, "id string, text string").repartition(5), "id", "text").copies())
@@ -162,6 +170,14 @@ def test_pairs_at_the_threshold_are_found(spark):
     assert got <= {(f"a{i:03}", f"b{i:03}") for i in range(400)} and len(got) >= 0.92 * 400
 
 
+def test_bags_are_compared_exactly():
+    rng = random.Random(15)
+    for _ in range(50):
+        a, b = ({rng.randrange(300) << 39 | 7 for _ in range(rng.randrange(1, 60))} for _ in range(2))
+        raw = [b"".join(x.to_bytes(6, "little") for x in sorted(v)) for v in (a, b)]
+        assert neardup.shared_words(*raw) == len(a & b)
+
+
 def test_posterior_bounds_rise_with_agreement():
     t = neardup.reachable(64)
     assert list(t) == sorted(t) and t[64] == 1 and t[20] < 0.6 < t[40]
@@ -346,6 +362,8 @@ def test_encoding_round_trip(spark):
         at = got[i].slice_bytes + [len(t.encode())]
         assert at[0] == 0 and at == sorted(at)
     assert dict(rows(decode(out, "ids", ["doc"])))  == {i: t or "" for i, t in data}
+    cut = decode(out, "ids", ["doc"], offsets="slice_bytes").collect()
+    assert all("".join(r.slices) == r.text and len(r.slices) == len(got[r.doc].slice_bytes) for r in cut)
     assert encode(df.limit(0), "text", ["doc"]).count() == 0
 
 
@@ -387,6 +405,10 @@ def test_packing(spark):
     assert all(n <= {"small": 64, "big": 512}[k] for (k, c), n in used.items() if c is not None)
     assert {r.id for r in got if r.container is None} >= {900, 901} and len({(r.container_kind, r.id) for r in got}) == 2 * len(data)
     assert all(r.fill > 0.9 for r in fill(out, kinds).collect())
+    again = pack(df.repartition(1), "id", "text", kinds)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    assert rows(again.select("container_kind", "id", "piece", "container").fillna(-1)) == sorted((r.container_kind, r.id, r.piece, -1 if r.container is None else r.container) for r in got)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert pack(df.limit(0), "id", "text", kinds).count() == 0
 
 
