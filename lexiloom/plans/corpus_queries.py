@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup as D, graph as G, sampling as S, similarity as X
+from ..scratch import Scratch
 from .registry import docs, lab, query, table
 from .text_queries import COLLAPSE, H, LOWERED
 
@@ -67,8 +68,20 @@ query("cross_containment_semi", lambda s, d: records(s, d).where("split = 'test'
       f"WITH {_SIDES} SELECT DISTINCT i AS id FROM {_CROSS}")
 query("cross_containment_anti", lambda s, d: records(s, d).where("split = 'test'").join(X.cross_edges(side(s, d, "test"), side(s, d, "train")).select(F.col("i").alias("id")), "id", "left_anti").select("id"),
       f"WITH {_SIDES} SELECT id FROM {RECORDS} WHERE split = 'test' AND id NOT IN (SELECT i FROM {_CROSS})")
+
+
+def sides(s, d) -> DataFrame:
+    """Records of the test and train splits, written once: their texts are read several times."""
+    return Scratch(s).keep(records(s, d).where("split in ('test', 'train')").select("id", "split", "text"))
+
+
+def best(both: DataFrame) -> DataFrame:
+    sets = lambda split: X.shingle_sets(both.where(F.col("split") == split), "id", T.lowered(F.col("text")))
+    return X.best_containment(sets("test"), sets("train"))
+
+
 _BEST = "SELECT n.id, coalesce(m.c, 0) / n.n AS containment FROM (SELECT id, count(*) AS n FROM te GROUP BY id) n LEFT JOIN (SELECT i, max(c) AS c FROM (SELECT x.id AS i, y.id AS j, count(*) AS c FROM te x JOIN tr y ON x.shingle = y.shingle GROUP BY ALL) GROUP BY i) m ON m.i = n.id"
-query("best_containment", lambda s, d: X.best_containment(side(s, d, "test"), side(s, d, "train")).select("id", F.round("containment", 9).alias("containment")),
+query("best_containment", lambda s, d: best(sides(s, d)).select("id", F.round("containment", 9).alias("containment")),
       f"WITH {_SIDES} SELECT id, round(containment, 9)::DOUBLE AS containment FROM ({_BEST})")
 
 

@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+#: Shuffle files of a query are removed when it ends, not when the driver collects its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,7 +61,12 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self._n}"
         self._n += 1
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_TIDY, "false")
+        self.spark.conf.set(_TIDY, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_TIDY, before)
         read = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(read)] = path
         read._scratch_path = path  # keeps id(read) meaningful while read lives

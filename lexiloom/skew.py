@@ -43,8 +43,9 @@ def join_salted(left: DataFrame, members: DataFrame, key: str, by: str, hot: Dat
 
 def spread(df: DataFrame) -> DataFrame:
     """A table that is small by the optimiser's estimate, so read by fewer tasks than there
-    are cores, over all cores before costly expressions; any other is left as it is."""
+    are cores, over all cores before costly expressions; any other is left as it is, as is
+    one of as many files as there are cores."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores << 26 else df
+    return df.repartition(cores) if size < cores << 26 and len(df.inputFiles()) < cores else df
