@@ -87,11 +87,11 @@ query("best_containment", lambda s, d: best(sides(s, d)).select("id", F.round("c
 
 def histogram(s, d):
     """Evaluation records by their best containment, and exact copies of training texts."""
-    best = X.best_containment(side(s, d, "test"), side(s, d, "train"))
-    fp = records(s, d).select("id", "split", T.fp_lower(F.col("text")).alias("fp"))
+    both = sides(s, d)
+    fp = both.select("id", "split", T.fp_lower(F.col("text")).alias("fp"))
     exact = fp.where("split = 'test'").join(fp.where("split = 'train'").select("fp").distinct(), "fp", "left_semi").select("id").withColumn("exact", F.lit(True))
     c = F.col("containment")
-    return best.join(exact, "id", "left").agg(F.count("*").alias("items"), F.count_if("exact").alias("exact"), *[F.count_if(c >= t - 1e-12).alias(f"at_{int(t * 100)}") for t in (0.5, 0.8, 1.0)])
+    return best(both).join(exact, "id", "left").agg(F.count("*").alias("items"), F.count_if("exact").alias("exact"), *[F.count_if(c >= t - 1e-12).alias(f"at_{int(t * 100)}") for t in (0.5, 0.8, 1.0)])
 
 
 query("containment_histogram", histogram,

@@ -44,3 +44,12 @@ def test_best_containment_with_an_empty_side(spark):
     sets = X.shingle_sets(df, "id", F.col("text"))
     assert [tuple(r) for r in X.best_containment(sets, sets.where("id > 1")).collect()] == [(1, 0.0)]
     assert X.best_containment(sets.where("id > 1"), sets).collect() == []
+
+
+def test_records_of_the_histogram_are_written_once(spark, kept, tmp_path):
+    from lexiloom.plans import corpus_queries as Q
+
+    rows = [(f"r{i}", "one two three four five six" if i < 2 else f"text {i} of its own words here", "test" if i % 2 else "train", 0, "s", None) for i in range(8)]
+    spark.createDataFrame(rows, "id string, text string, split string, label int, source string, group_id string").write.parquet(f"{tmp_path}/injection_lab.parquet")
+    assert [tuple(r) for r in Q.histogram(spark, str(tmp_path)).collect()] == [(4, 1, 1, 1, 1)]
+    assert sum({"id", "split", "text"} == x for x in kept) == 1
