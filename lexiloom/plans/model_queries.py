@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rng, text as T
-from ..operators import pools as P, sampling as S, similarity as X
-from ..scratch import Scratch
+from ..operators import charcosine as C, pools as P, sampling as S, similarity as X
 from ..streaming.windows import windowed
 from .corpus_queries import labelled, records
 from .registry import docs, query, table
@@ -27,9 +26,8 @@ query("tfidf_lr_scores", tfidf_lr)
 
 def char_pairs(s, d):
     """Benign and positive labelled documents with character TF-IDF cosine >= 0.9."""
-    counts = Scratch(s).keep(X.char_wb(labelled(s, d), "doc_id", T.lowered(F.col("text")), 3, 5))
-    v = X.tfidf(counts, counts, 50_000, sublinear=False)
-    return X.cosine_pairs(v, v, 0.9, self_join=True).select("i", "j", F.round("cosine", 6).alias("cosine"))
+    texts = C.texts_of(labelled(s, d), "doc_id", T.lowered(F.col("text")))
+    return C.cosine_pairs(texts, None, 0.9, 3, 5, 50_000, sublinear=False).select("i", "j", F.round("cosine", 6).alias("cosine"))
 
 
 query("char_tfidf_pairs", char_pairs)

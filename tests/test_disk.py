@@ -53,3 +53,29 @@ def test_records_of_the_histogram_are_written_once(spark, kept, tmp_path):
     spark.createDataFrame(rows, "id string, text string, split string, label int, source string, group_id string").write.parquet(f"{tmp_path}/injection_lab.parquet")
     assert [tuple(r) for r in Q.histogram(spark, str(tmp_path)).collect()] == [(4, 1, 1, 1, 1)]
     assert sum({"id", "split", "text"} == x for x in kept) == 1
+
+
+def _documents(spark, tmp_path, n=160):
+    """Texts of common and rare words, some changed a little, some repeated, some without words."""
+    rng = random.Random(7)
+    words = ["the", "guard", "of", "model", "answers", "Straße", "naïve"] + [f"rare{k * k}" for k in range(120)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 40))) for _ in range(n)]
+    texts += [t + rng.choice(["", " ", " x", " guard"]) for t in texts] + ["", " \n", "a\u00a0b"]
+    rows = [(k, t, rng.randrange(2)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, label int").write.parquet(f"{tmp_path}/documents.parquet")
+
+
+@pytest.mark.parametrize("block", [8192, 50])
+def test_character_pairs_write_no_vectors(spark, kept, monkeypatch, tmp_path, block):
+    from lexiloom.functions import text as T
+    from lexiloom.operators import charcosine as C
+    from lexiloom.plans import corpus_queries as Q, model_queries as M
+
+    _documents(spark, tmp_path)
+    monkeypatch.setattr(C, "BLOCK_TEXTS", block)
+    got = {(r.i, r.j): r.cosine for r in M.char_pairs(spark, str(tmp_path)).collect()}
+    assert not any({"id", "term"} <= x for x in kept)
+    counts = X.char_wb(Q.labelled(spark, str(tmp_path)), "doc_id", T.lowered(F.col("text")), 3, 5)
+    v = X.tfidf(counts, counts, 50_000, sublinear=False)
+    want = {(r.i, r.j): r.cosine for r in X.cosine_pairs(v, v, 0.9, self_join=True).collect()}
+    assert len(want) > 100 and got == {p: pytest.approx(c, abs=2e-6) for p, c in want.items()}
