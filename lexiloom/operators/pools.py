@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..scratch import Scratch
-from . import dedup as D, graph as G, sampling as S, similarity as X
+from . import charcosine as C, dedup as D, graph as G, sampling as S, similarity as X
 
 FRACTIONS = {"S-train": 0.55, "S-cal": 0.25, "S-generic-bank": 0.05, "S-test": 0.15}
 
@@ -64,12 +64,8 @@ def disjoint(candidates: DataFrame, evaluation: DataFrame, attacks: DataFrame, i
 def semantic_far(df: DataFrame, reference: DataFrame, id: str, text: str, cutoff: float = 0.92, terms: int = 12_000) -> DataFrame:
     """Rows whose largest character TF-IDF cosine (3-4 grams, sublinear, vocabulary of
     both sides) to a reference row is below the cutoff; all rows if there are none."""
-    normal = F.lower(F.col(text))
-    tag = lambda x, t: x.select(F.concat(F.lit(t), F.col(id).cast("string")).alias("k"), text)
-    scratch = Scratch(df.sparkSession)
-    a, b = (scratch.keep(X.char_wb(tag(x, t), "k", normal, 3, 4)) for x, t in ((df, "c:"), (reference, "r:")))
-    fit = a.unionByName(b)
-    hits = X.cosine_pairs(X.tfidf(a, fit, terms), X.tfidf(b, fit, terms), cutoff).select(F.substring("i", 3, 1 << 20).alias("k")).distinct()
+    a, b = (C.texts_of(x.select(F.col(id).cast("string").alias("k"), text), "k", F.lower(F.col(text))) for x in (df, reference))
+    hits = C.cosine_pairs(a, b, cutoff, 3, 4, terms, once=True).select(F.col("i").alias("k")).distinct()
     return df.withColumn("k", F.col(id).cast("string")).join(hits, "k", "left_anti").drop("k")
 
 

@@ -79,3 +79,18 @@ def test_character_pairs_write_no_vectors(spark, kept, monkeypatch, tmp_path, bl
     v = X.tfidf(counts, counts, 50_000, sublinear=False)
     want = {(r.i, r.j): r.cosine for r in X.cosine_pairs(v, v, 0.9, self_join=True).collect()}
     assert len(want) > 100 and got == {p: pytest.approx(c, abs=2e-6) for p, c in want.items()}
+
+
+def test_semantic_mask_writes_no_vectors(spark, kept, monkeypatch, tmp_path):
+    from lexiloom.operators import charcosine as C, pools as P
+
+    _documents(spark, tmp_path)
+    monkeypatch.setattr(C, "BLOCK_TEXTS", 50)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "label")
+    one, two = docs.where("label = 1"), docs.where("label = 0")
+    got = {r.id for r in P.semantic_far(one, two, "id", "text", terms=300).collect()}
+    assert not any({"id", "term"} <= x for x in kept)
+    a, b = (X.char_wb(x, "id", F.lower("text"), 3, 4) for x in (one, two))
+    fit = a.unionByName(b)
+    near = {r.i for r in X.cosine_pairs(X.tfidf(a, fit, 300), X.tfidf(b, fit, 300), 0.92).collect()}
+    assert near and got == {r.id for r in one.collect()} - near
