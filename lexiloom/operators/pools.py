@@ -24,13 +24,15 @@ def build_pools(rows: DataFrame, seed: str = "pools", bank_benign: int = 1000, f
     fill the bank and else evaluate, U groups evaluate; positives of the bank are apart.
     """
     scratch = Scratch(rows.sparkSession)
-    rows = scratch.keep(rows.withColumn("sha", T.fp_nfkc(F.col("text"))))
-    kept = D.dedup_conflict(rows, "sha", "id", "label").where("kept_id is not null").select(F.col("kept_id").alias("id"))
-    rows = scratch.keep(rows.join(kept, "id", "left_semi"))
+    marked = scratch.keep(rows.withColumn("sha", T.fp_nfkc(F.col("text"))))
+    kept = D.dedup_conflict(marked, "sha", "id", "label").where("kept_id is not null").select(F.col("kept_id").alias("id"))
+    rows = scratch.keep(marked.join(kept, "id", "left_semi"))
+    scratch.drop(marked)
     roots = G.containment_components(X.shingle_sets(rows, "id", T.normalized(F.col("text"))))
     grouped = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     names = D.ledger(grouped, "id", "root", "sha", "label").select("root", F.col("group_id").alias("group"))
     grouped = scratch.keep(D.cross_domain_removal(grouped.join(names, "root").drop("root"), "group", "domain"))
+    scratch.drop(rows)
     sizes = lambda domain: S.group_sizes(grouped.where(F.col("domain") == domain), "group", "label")
     placed = S.allocate_groups(sizes("S"), "group", fractions or FRACTIONS, seed)
     bank = S.bank_fill(sizes("T"), "group", seed, bank_benign).where("in_bank").select("group")

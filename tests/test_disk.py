@@ -94,3 +94,13 @@ def test_semantic_mask_writes_no_vectors(spark, kept, monkeypatch, tmp_path):
     fit = a.unionByName(b)
     near = {r.i for r in X.cosine_pairs(X.tfidf(a, fit, 300), X.tfidf(b, fit, 300), 0.92).collect()}
     assert near and got == {r.id for r in one.collect()} - near
+
+
+def test_containment_links_write_the_sets_once(spark, kept):
+    one = _texts(60, 3)
+    sets = X.shingle_sets(spark.createDataFrame(list(one.items()), "id int, text string"), "id", F.col("text"))
+    got = {(r.i, r.j): r.shared for r in X.containment_edges(sets).collect()}
+    mine = {i: _shingles(t) for i, t in one.items()}
+    least = lambda a, b: max(min(3, len(a), len(b)), 0.5 * min(len(a), len(b)))
+    assert got == {(i, j): len(a & b) for i, a in mine.items() for j, b in mine.items() if i < j and len(a & b) >= least(a, b)}
+    assert sum("hs" in x for x in kept) == 1
