@@ -14,7 +14,9 @@ counted with repeats and in any order, of the longer text's words.
 3. Texts in one bucket are candidates.  Batch by batch the pair's posterior
    probability of being similar enough is looked up; the pair is dropped where
    that is below MISS.  The first two batches travel with the bucket rows, so
-   most candidates go before any further shuffle.
+   most candidates go before any further shuffle.  The bands are done in PASSES
+   runs, and a run's shuffle is deleted before the next one begins: the bucket rows
+   of all bands, three times the texts, are never on disk together.
 4. Survivors are verified exactly on their whole bags of words: 48-bit hashes of
    (word, number of its occurrence).
 
@@ -31,7 +33,7 @@ that adaptive execution splits a skewed partition of either side among tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ from . import bloom
 SHARE = 0.75
 BANDS, ROWS = 48, 5
 BATCHES, PER_BATCH = 4, 16
+#: Runs of bands whose bucket rows are on disk at a time.
+PASSES = 8
 MISS = 0.002
 RARE = 1e-4
 #: Words that are broadcast at most (12 bytes each).
@@ -53,6 +57,7 @@ MOST_WORDS = 1 << 20
 POWER = 0.5
 
 _NIBBLES = 0x1111111111111111
+_LOW = 0xFFFFFFFF
 
 
 @lru_cache
@@ -161,7 +166,8 @@ class Signer:
         return h, element, np.concatenate(([0], np.cumsum(n)))
 
     def sign(self, words: np.ndarray, element: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket hashes (texts x BANDS) and batches (texts x BATCHES)."""
+        """Bucket hashes (texts x BANDS, 32 bits: two that are equal by chance only make
+        a candidate) and batches (texts x BATCHES)."""
         at, n = limits[:-1], len(limits) - 1
         tok = (element >> np.uint64(32)).astype(np.uint32)
         lighter = np.full(len(words), 1 / self.rare, np.float32)
@@ -169,14 +175,14 @@ class Signer:
             place = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
             known = self.common[place] == words
             lighter[known] = 1 / self.weights[place[known]]
-        buckets = np.empty((n, BANDS), np.uint64)
+        buckets = np.empty((n, BANDS), np.uint32)
         with np.errstate(over="ignore"):
             for band in range(BANDS):
                 h = np.full(n, band, np.uint64)
                 for r in range(ROWS):
                     least = np.minimum.reduceat(_mixed(tok, self.salts[band * ROWS + r]).astype(np.float32) * lighter, at)
                     h = mix64(h * np.uint64(31) + least.view(np.uint32).astype(np.uint64))
-                buckets[:, band] = h
+                buckets[:, band] = h >> np.uint64(32)
             batches = np.zeros((n, BATCHES), np.uint64)
             for k in range(BATCHES * PER_BATCH):
                 least = np.minimum.reduceat(_mixed(tok, self.salts[BANDS * ROWS + k]), at)
@@ -196,8 +202,9 @@ def _first_of_partition(seen: set[int], keys: np.ndarray, ok: np.ndarray) -> np.
 
 
 def signatures(df: DataFrame, text: str, common: np.ndarray, weights: np.ndarray, repeats: bloom.Filter) -> DataFrame:
-    """(key, n, buckets, s1..s4, twin) once in a partition for each distinct word sequence;
-    key is its 64-bit hash, twin tells that it may occur in other partitions too."""
+    """(key, n, s1..s4, twin, run0, run1, ..) once in a partition for each distinct word
+    sequence; key is its 64-bit hash, twin tells that it may occur in other partitions
+    too, a run holds the buckets of its bands."""
     held = df.sparkSession.sparkContext.broadcast((common, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,14 +218,17 @@ def signatures(df: DataFrame, text: str, common: np.ndarray, weights: np.ndarray
                 h, element, limits = signer.bag(w, w.hashes(0), pick)
                 buckets, batched = signer.sign(h, element, limits)
                 n = len(limits) - 1
-                columns = [pa.array(key[pick].view(np.int64)), pa.array(np.diff(limits).astype(np.int32)), lists(buckets.view(np.int64).ravel(), np.arange(n + 1) * BANDS, pa.int64())]
+                columns = [pa.array(key[pick].view(np.int64)), pa.array(np.diff(limits).astype(np.int32))]
                 columns += [pa.array(np.ascontiguousarray(batched[:, k]).view(np.int64)) for k in range(BATCHES)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(repeats.holds(key[pick]))], ["key", "n", "buckets", *_SIGS, "twin"])
+                columns.append(pa.array(repeats.holds(key[pick])))
+                columns += [lists(part.view(np.int32).ravel(), np.arange(n + 1) * part.shape[1], pa.int32()) for part in map(np.ascontiguousarray, np.array_split(buckets, PASSES, axis=1))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n", *_SIGS, "twin", *_RUNS])
 
-    return df.select(text).mapInArrow(run, "key bigint, n int, buckets array<bigint>, " + ", ".join(f"{s} bigint" for s in _SIGS) + ", twin boolean")
+    return df.select(text).mapInArrow(run, "key bigint, n int, " + ", ".join(f"{s} bigint" for s in _SIGS) + ", twin boolean, " + ", ".join(f"{r} array<int>" for r in _RUNS))
 
 
 _SIGS = [f"s{k + 1}" for k in range(BATCHES)]
+_RUNS = [f"run{k}" for k in range(PASSES)]
 
 
 def bags(df: DataFrame, text: str, wanted: bloom.Filter, repeats: bloom.Filter) -> DataFrame:
@@ -263,6 +273,23 @@ def _alike(pairs: DataFrame, share: float) -> DataFrame:
     return pairs.select("key_a", "key_b", "n_a", "n_b", "bag_a", "bag_b").mapInArrow(run, "key_a bigint, key_b bigint")
 
 
+def _bucket_pairs(once: DataFrame, run: str, share: float) -> DataFrame:
+    """(key_a, key_b) of the texts that share a bucket of the run and may be similar
+    enough by their lengths and first two batches; a pair comes once for each such bucket."""
+    # a bucket and the length share a long: the rows are what fills the disk
+    tag = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("bucket").cast("long").bitwiseAND(F.lit(_LOW)))
+    rows = once.select(F.explode(run).alias("bucket"), "key", "n", "s1", "s2").select(tag.alias("tag"), "key", "s1", "s2")
+    bucket = lambda x: F.col(f"{x}.tag").bitwiseAND(F.lit(_LOW))
+    n_a, n_b = (F.shiftright(F.col(f"{x}.tag"), 32) for x in "ab")
+    need = needed_similarity(n_a, n_b, share)
+    fits = (F.col("a.key") < F.col("b.key")) & (F.least(n_a, n_b) >= F.lit(share) * F.greatest(n_a, n_b))
+    first = _agreeing(F.col("a.s1"), F.col("b.s1"))
+    second = first + _agreeing(F.col("a.s2"), F.col("b.s2"))
+    alike = _possible(first, PER_BATCH, need) & _possible(second, 2 * PER_BATCH, need)
+    banded = rows.alias("a").join(rows.alias("b"), (bucket("a") == bucket("b")) & fits & alike)
+    return banded.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
+
+
 def near_pairs(df: DataFrame, text: str, n_texts: int, repeats: DataFrame, scratch: Scratch, share: float = SHARE) -> DataFrame:
     """(key_a, key_b): near-duplicate pairs of distinct word sequences, each once.
     ``repeats``: (key) of every word sequence that occurs in two or more rows."""
@@ -272,16 +299,9 @@ def near_pairs(df: DataFrame, text: str, n_texts: int, repeats: DataFrame, scrat
     twins = scratch.keep(signed.where("twin").dropDuplicates(["key"]))
     once = signed.where("not twin").unionByName(twins)
 
-    rows = once.select(F.explode("buckets").alias("bucket"), "key", "n", "s1", "s2")
-    a, b = rows.alias("a"), rows.alias("b")
-    need = needed_similarity(F.col("a.n"), F.col("b.n"), share)
-    fits = (F.col("a.key") < F.col("b.key")) & (F.least("a.n", "b.n") >= F.lit(share) * F.greatest("a.n", "b.n"))
-    first = _agreeing(F.col("a.s1"), F.col("b.s1"))
-    second = first + _agreeing(F.col("a.s2"), F.col("b.s2"))
-    alike = _possible(first, PER_BATCH, need) & _possible(second, 2 * PER_BATCH, need)
-    banded = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & fits & alike)
+    banded = [scratch.keep(_bucket_pairs(once, run, share)) for run in _RUNS]
     # one exchange by key_a serves both the removal of repeats and the next join
-    pairs = banded.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).repartition("key_a").dropDuplicates(["key_a", "key_b"])
+    pairs = reduce(DataFrame.unionByName, banded).repartition("key_a").dropDuplicates(["key_a", "key_b"])
 
     side = lambda x: once.select(F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), *[F.col(s).alias(f"{s}_{x}") for s in _SIGS])
     known = pairs.join(side("a"), "key_a").join(side("b"), "key_b")
@@ -292,13 +312,14 @@ def near_pairs(df: DataFrame, text: str, n_texts: int, repeats: DataFrame, scrat
         agree = agree + _agreeing(F.col(f"{s}_a"), F.col(f"{s}_b"))
         keep = keep & _possible(agree, PER_BATCH * (k + 1), need)
     survivors = scratch.keep(known.where(keep).select("key_a", "key_b", "n_a", "n_b"))
-    scratch.drop(signed, twins)
+    scratch.drop(signed, twins, *banded)
 
     ends = survivors.select(F.explode(F.array("key_a", "key_b")).alias("key"))
     wanted = bloom.build(ends, "key", max(1, 2 * survivors.count()), repeated=False)
     found = scratch.keep(bags(df, text, wanted, repeated))
-    held = found.where("not twin").unionByName(found.where("twin").dropDuplicates(["key"]))
+    twins = scratch.keep(found.where("twin").dropDuplicates(["key"]))  # written, so that both joins share an exchange
+    held = found.where("not twin").unionByName(twins)
     bag = lambda x: held.select(F.col("key").alias(f"key_{x}"), F.col("bag").alias(f"bag_{x}"))
     out = scratch.keep(_alike(survivors.join(bag("a"), "key_a").join(bag("b"), "key_b"), share))
-    scratch.drop(survivors, found)
+    scratch.drop(survivors, found, twins)
     return out
