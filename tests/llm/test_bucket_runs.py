@@ -6,6 +6,7 @@ import pytest
 
 from lexiloom.llm import neardup
 from lexiloom.llm.editdup import NearCopies
+from lexiloom.llm.splitoverlap import SplitOverlap
 
 
 def _stages(spark):
@@ -45,6 +46,14 @@ def test_pairs_shuffle_one_run_of_bands_at_a_time(spark, shuffled):
     assert got == {(f"a{i:03}", f"b{i:03}") for i in range(0, 400, 4)}
 
 
+def test_overlap_shuffles_one_run_of_bands_at_a_time(spark, shuffled):
+    data = _records()
+    df = spark.createDataFrame(data, "id string, text string, split string").repartition(3)
+    got = {r.id for r in SplitOverlap(df, "id", "text", "split").ids().collect()}
+    assert shuffled() <= len(data) * neardup.BANDS / 6
+    assert got == {f"b{i:03}" for i in range(0, 400, 4)}
+
+
 def test_chance_equals_of_bucket_hashes_lose_no_pair(spark, monkeypatch):
     # all texts in one bucket a band: every pair is a candidate, none but true ones are left
     whole = neardup.Signer.sign
